@@ -2,8 +2,9 @@
 
 All n-grams stand in one global order: common ones, counted over the whole
 corpus, last; the others by their hash.  The order is cut into fragments.
-A document's rare end (its prefix) finds candidates; overlaps of a candidate pair
-are counted fragment by fragment, each apart from the others, and summed per pair.
+A document's rare end (its prefix) finds candidates; a bound from sketches of the
+sets, never too low, drops most that are not linked; overlaps of the others are
+counted fragment by fragment, each apart from the others, and summed per pair.
 
 Documents with one and the same n-gram set are one class from the start, so copies
 never meet.  Where many classes share an n-gram, they are first compared with one
@@ -19,6 +20,7 @@ component of null ids alone has a null component_id.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,10 +43,18 @@ COMMON_MOST = 1_000_000
 COMMON_IN, BLOCK_DOCS = 4, 2048
 #: Classes that share an n-gram are compared with one of them first if there are more than this.
 CROWD = 16
+#: A sketch has the numbers of a set's n-grams by so many leading hash values.
+SKETCH = 64
+#: Bytes of an n-gram's hash that overlaps are counted by, within a fragment of two documents.
+GRAM_BYTES = 5
 #: Bits of the filter that holds back documents which are in no candidate pair.
 FILTER_BITS = 23
 
 
+CENSUS = "doc_id long, n long, cid long, sketch binary, gram long, times long"
+CENSUS_NAMES = [c.split()[0] for c in CENSUS.split(", ")]
+
+
 @dataclass(frozen=True)
 class Spec:
     """n words a gram; linked if den * intersection >= num * union."""
@@ -77,7 +87,21 @@ def _sets(batch: pa.RecordBatch, spec: Spec):
     return h, row, offs, size, cid.view(np.int64)
 
 
-def _census(spec: Spec):
+def _sketches(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    slot = row * SKETCH + (h >> np.uint64(BITS - 6)).astype(np.int64)
+    counts = np.bincount(slot, minlength=len(size) * SKETCH).reshape(len(size), SKETCH)
+    low = counts.astype(np.uint8)
+    wide = counts.max(axis=1, initial=0) > 255
+    return [None if not n else (counts[i].astype("<u4") if wide[i] else low[i]).tobytes() for i, n in enumerate(size)]
+
+
+def _counts(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint8 if len(sketch) == SKETCH else "<u4")
+
+
+def _census(spec: Spec, common: bool = True):
+    names = CENSUS_NAMES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, found = [], 0, []
 
@@ -90,12 +114,14 @@ def _census(spec: Spec):
             held, docs = [], 0
 
         for batch in textkit.chunks(batches):
-            h, _, _, size, cid = _sets(batch, spec)
+            h, row, _, size, cid = _sets(batch, spec)
             rows = len(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
-                names=["doc_id", "n", "cid", "gram", "times"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(_sketches(h, row, size), pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
+                names=names,
             )
+            if not common:
+                continue
             held.append(h)
             docs += rows
             if docs >= BLOCK_DOCS:
@@ -107,7 +133,7 @@ def _census(spec: Spec):
             for at in range(0, len(values), 1 << 16):
                 v, t = values[at : at + (1 << 16)], times[at : at + (1 << 16)]
                 none = pa.nulls(len(v), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(v.view(np.int64)), pa.array(t)], names=["doc_id", "n", "cid", "gram", "times"])
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(t)], names=names)
 
     return run
 
@@ -205,18 +231,24 @@ def _fragments(spec: Spec, common: _Common, bits):
                     if len(part):
                         cids.append(cid[i])
                         frags.append(k)
-                        blobs.append(part.tobytes())
+                        blobs.append(part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(frags, pa.int32()), pa.array(blobs, pa.binary())], names=["cid", "fragment", "grams"])
 
     return run
 
 
+def _wide(blob: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, GRAM_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :GRAM_BYTES] = raw
+    return out.view("<u8").ravel()
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, lefts, rights = [], batch.column("x"), batch.column("y")
         for x, y in zip(lefts, rights):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
+            both = np.concatenate([_wide(x), _wide(y)])
             both.sort()
             counts.append(int((both[1:] == both[:-1]).sum()))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(counts, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
@@ -248,14 +280,29 @@ def _filter_bits(ids: DataFrame) -> bytes:
     return bytes(full)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, spec: Spec, common: _Common) -> DataFrame:
+def _bounded(spec: Spec):
+    """Pairs whose sketches leave room for a link: the overlap is at most the sum of the smaller counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [int(np.minimum(_counts(x), _counts(y)).sum()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = (spec.num + spec.den) * np.array(most, np.int64) >= spec.num * sizes
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"]).filter(pa.array(keep))
+
+    return run
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: Spec, common: _Common) -> DataFrame:
     """The pairs(a, b, na, nb) that are linked: partial overlaps by fragment, summed per pair."""
     spark = docs.sparkSession
+    sides = classes.select("cid", "sketch")
+    likely = pairs.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    pairs = materialize(likely.mapInArrow(_bounded(spec), "a long, b long, na long, nb long"), "likely")
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
     bits = spark.sparkContext.broadcast(_filter_bits(ids))
     parts = docs.select("text").mapInArrow(_fragments(spec, common, bits), "cid long, fragment int, grams binary")
-    parts = parts.join(ids.distinct(), "cid", "left_semi").dropDuplicates(["cid", "fragment"])
-    parts = materialize(parts, "fragments")
+    parts = parts.dropDuplicates(["cid", "fragment"])
     a = parts.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("x"))
     b = parts.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("y"))
     met = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "x", "y")
@@ -264,7 +311,7 @@ def verified(docs: DataFrame, pairs: DataFrame, spec: Spec, common: _Common) ->
     return total.where(spec.enough("overlap", "na", "nb"))
 
 
-def components(docs: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
+def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
     """(node, root) over classes, from rows(gram, cid, n, p) in which linked classes share a gram."""
     shared = rows.repartition("gram").withColumn("lo", F.expr("min(cid) over (partition by gram)")).withColumn("hi", F.expr("max(cid) over (partition by gram)"))
     rows = materialize(shared.where("lo <> hi").dropDuplicates(["gram", "cid"]).select("gram", "cid", "n", "p"), "prefixes")
@@ -283,7 +330,7 @@ def components(docs: DataFrame, rows: DataFrame, spec: Spec, common: _Common, po
     led = materialize(led, "led")
     links = None
     if not led.isEmpty():
-        links = materialize(verified(docs, led, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        links = materialize(verified(docs, led, classes, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         first = connected_components(links)
         rows = rows.join(first, rows.cid == first.node, "left").select("gram", "cid", "n", "p", F.coalesce("root", "cid").alias("comp"))
         mixed = rows.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
@@ -294,7 +341,7 @@ def components(docs: DataFrame, rows: DataFrame, spec: Spec, common: _Common, po
     y = rows.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
     met = near(x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))))
     met = materialize(met.select("a", "b", "na", "nb").dropDuplicates(["a", "b"]), "met")
-    rest = verified(docs, met, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = verified(docs, met, classes, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected_components(links.unionByName(rest) if links is not None else rest)
 
 
@@ -305,14 +352,20 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
-    census = materialize(docs.mapInArrow(_census(spec), "doc_id long, n long, cid long, gram long, times long"), "census")
+    census = materialize(docs.mapInArrow(_census(spec), CENSUS), "census")
     often = census.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON_MOST).select("gram").toPandas()
     rising = often.gram.to_numpy(dtype=np.int64).view(np.uint64)[::-1]
-    common = _Common(id(often), spark.sparkContext.broadcast(np.ascontiguousarray(rising).tobytes()))
+    common = _Common(uuid.uuid4().int, spark.sparkContext.broadcast(np.ascontiguousarray(rising).tobytes()))
     rows = docs.select("text").mapInArrow(_prefixes(spec, common), "gram long, cid long, n long, p long")
-    roots = components(docs, rows, spec, common)
+    return with_components(docs, census, rows, spec, common)
+
+
+def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
+    """The census with the component of each document, from rows(gram, cid, n, p)."""
     own = census.where("gram is null").select("doc_id", F.col("n").alias("n_shingles"), "cid")
-    classes = own.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = census.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
+    roots = components(docs, rows, classes, spec, common, positional)
     classes = classes.join(roots, classes.cid == roots.node, "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("cid", "component_id")
