@@ -37,22 +37,28 @@ from tiltmine.llm.shared import materialize, only
 BITS = 52
 #: The cuts of the global order: rare n-grams by hash, then the common ones.
 FRAGMENTS = 4
-#: N-grams that are ranked as common: at most so many (8 bytes each are broadcast).
-COMMON_MOST = 1_000_000
-#: A common n-gram is in so many documents of a block of so many.
-COMMON_IN, BLOCK_DOCS = 4, 2048
+#: N-grams that are ranked as common: at most so many, the most frequent (8 bytes each are broadcast).
+#: Any order gives the same links; the more are ranked, the fewer candidates there are.
+COMMON_MOST = 2_000_000
+#: A common n-gram is in more documents than this.
+COMMON_ABOVE = 8
+#: N-grams are counted up to this share of the range of hashes; prefixes seldom reach beyond.
+COUNTED = 0.25
+#: Hashes that a task counts at a time, and that one group sums, about.
+COUNT_AT_ONCE = 1 << 20
 #: Classes that share an n-gram are compared with one of them first if there are more than this.
 CROWD = 16
 #: A sketch has the numbers of a set's n-grams by so many leading hash values.
 SKETCH = 64
 #: Bytes of an n-gram's hash that overlaps are counted by, within a fragment of two documents.
 GRAM_BYTES = 5
+#: Classes of a crowd that are compared with each other at a time.
+BLOCK = 1024
 #: Bits of the filter that holds back documents which are in no candidate pair.
 FILTER_BITS = 23
 
 
-CENSUS = "doc_id long, n long, cid long, sketch binary, gram long, times long"
-CENSUS_NAMES = [c.split()[0] for c in CENSUS.split(", ")]
+CENSUS = "doc_id long, n long, cid long, sketch binary"
 
 
 @dataclass(frozen=True)
@@ -99,45 +105,70 @@ def _counts(sketch: bytes) -> np.ndarray:
     return np.frombuffer(sketch, np.uint8 if len(sketch) == SKETCH else "<u4")
 
 
-def _census(spec: Spec, common: bool = True):
-    names = CENSUS_NAMES
-
+def _census(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, found = [], 0, []
-
-        def count():
-            nonlocal held, docs
-            if held:
-                values, times = np.unique(np.concatenate(held), return_counts=True)
-                often = times >= COMMON_IN
-                found.append((values[often], times[often]))
-            held, docs = [], 0
-
         for batch in textkit.chunks(batches):
             h, row, _, size, cid = _sets(batch, spec)
-            rows = len(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(_sketches(h, row, size), pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
-                names=names,
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(_sketches(h, row, size), pa.binary())], names=["doc_id", "n", "cid", "sketch"]
+            )
+
+    return run
+
+
+def _tallies(spec: Spec, parts: int):
+    """Numbers of documents by n-gram, for the counted hashes: sorted arrays, cut into parts of the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.uint64(int(COUNTED * (1 << BITS)))
+        edges = np.array([int(most) * i // parts for i in range(1, parts)], np.uint64)
+        held, many = [], 0
+
+        def out():
+            nonlocal held, many
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            cut = [0, *np.searchsorted(values, edges), len(values)]
+            some = [i for i in range(parts) if cut[i] < cut[i + 1]]
+            held, many = [], 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32())] + [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (values, times.astype("<u4"))], names=["part", "grams", "times"]
             )
-            if not common:
-                continue
-            held.append(h)
-            docs += rows
-            if docs >= BLOCK_DOCS:
-                count()
-        count()
-        if found:
-            values, where = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
-            times = np.bincount(where, np.concatenate([t for _, t in found])).astype(np.int64)
-            for at in range(0, len(values), 1 << 16):
-                v, t = values[at : at + (1 << 16)], times[at : at + (1 << 16)]
-                none = pa.nulls(len(v), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(t)], names=names)
+
+        seen: set[int] = set()
+        for batch in textkit.chunks(batches):
+            h, row, offs, size, cid = _sets(batch, spec)
+            keep = (h < most) & _fresh(cid, size, seen)[row]
+            held.append(h[keep])
+            many += int(keep.sum())
+            if many >= COUNT_AT_ONCE:
+                yield out()
+        if many:
+            yield out()
 
     return run
 
 
+def _sum_tallies(table: pa.Table) -> pa.Table:
+    grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")])
+    times = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("times")])
+    values, where = np.unique(grams, return_inverse=True)
+    times = np.bincount(where, times).astype(np.int64)
+    often = times > COMMON_ABOVE
+    return pa.table({"gram": pa.array(values[often].view(np.int64)), "times": pa.array(times[often])})
+
+
+def _fresh(cid: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows are the first of their class in this task, as far as it remembers."""
+    out = np.zeros(len(size), bool)
+    for i in np.flatnonzero(size):
+        if cid[i] not in seen:
+            seen.add(cid[i])
+            out[i] = True
+    if len(seen) > 1_000_000:
+        seen.clear()
+    return out
+
+
 class _Order:
     """Ranks of the common n-grams: 0 for all others."""
 
@@ -180,13 +211,7 @@ def _prefixes(spec: Spec, common: _Common):
         order, seen = _order(common), set()
         for batch in textkit.chunks(batches):
             h, row, offs, size, cid = _sets(batch, spec)
-            fresh = np.zeros(len(size), bool)  # copies in one task are told once
-            for i in np.flatnonzero(size):
-                if cid[i] not in seen:
-                    seen.add(cid[i])
-                    fresh[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
+            fresh = _fresh(cid, size, seen)
             rank = order.rank(h)
             light = rank == 0
             upto = np.concatenate([[0], np.cumsum(light)])
@@ -293,6 +318,29 @@ def _bounded(spec: Spec):
     return run
 
 
+def _meet(spec: Spec, positional: bool):
+    """Pairs of two blocks of classes that share an n-gram, as far as sizes, places and sketches allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, p, cid, comp = (table.column(c).to_numpy() for c in ("n", "p", "cid", "comp"))
+        sketch = np.stack([_counts(x).astype(np.int32) for x in table.column("sketch").to_pylist()])
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+        found = []
+        for i in left:
+            j = right[cid[right] > cid[i]] if table.column("lo")[0] == table.column("hi")[0] else right
+            j = j[(comp[j] != comp[i]) & (spec.den * np.minimum(n[i], n[j]) >= spec.num * np.maximum(n[i], n[j]))]
+            need = -(-spec.num * (n[i] + n[j]) // (spec.num + spec.den))
+            if positional:
+                ok = np.minimum(n[i] - p[i], n[j] - p[j]) >= need
+                j, need = j[ok], need[ok]
+            ok = np.minimum(sketch[j], sketch[i]).sum(axis=1) >= need
+            found += [(min(cid[i], cid[k]), max(cid[i], cid[k]), *((n[i], n[k]) if cid[i] < cid[k] else (n[k], n[i]))) for k in j[ok]]
+        columns = np.array(found, np.int64).reshape(-1, 4)
+        return pa.table({name: pa.array(columns[:, k]) for k, name in enumerate(("a", "b", "na", "nb"))})
+
+    return run
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: Spec, common: _Common) -> DataFrame:
     """The pairs(a, b, na, nb) that are linked: partial overlaps by fragment, summed per pair."""
     spark = docs.sparkSession
@@ -337,10 +385,19 @@ def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec,
         rows = materialize(rows.join(mixed, "gram", "left_semi"), "mixed")
     else:
         rows = rows.withColumn("comp", F.col("cid"))
-    x = rows.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
-    y = rows.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
-    met = near(x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))))
-    met = materialize(met.select("a", "b", "na", "nb").dropDuplicates(["a", "b"]), "met")
+    many = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD)
+    few = rows.join(many, "gram", "left_anti")
+    x = few.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
+    y = few.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
+    met = near(x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))).select("a", "b", "na", "nb")
+    # crowds are dealt in blocks: each pair of blocks is a group of bounded size, whatever the crowd
+    crowds = rows.join(many, "gram").join(classes.select("cid", "sketch"), "cid")
+    crowds = crowds.withColumn("blocks", F.expr(f"cast(ceil(many / {BLOCK}D) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    crowds = crowds.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "cid", "n", "p", "comp", "sketch"
+    )
+    met = met.unionByName(crowds.groupBy("gram", "lo", "hi").applyInArrow(_meet(spec, positional), "a long, b long, na long, nb long"))
+    met = materialize(met.dropDuplicates(["a", "b"]), "met")
     rest = verified(docs, met, classes, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected_components(links.unionByName(rest) if links is not None else rest)
 
@@ -353,7 +410,9 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
     census = materialize(docs.mapInArrow(_census(spec), CENSUS), "census")
-    often = census.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON_MOST).select("gram").toPandas()
+    parts = max(1, docs.count() * 128 // COUNT_AT_ONCE)
+    tallies = docs.select("text").mapInArrow(_tallies(spec, parts), "part int, grams binary, times binary").groupBy("part").applyInArrow(_sum_tallies, "gram long, times long")
+    often = tallies.orderBy(F.desc("times"), "gram").limit(COMMON_MOST).select("gram").toPandas()
     rising = often.gram.to_numpy(dtype=np.int64).view(np.uint64)[::-1]
     common = _Common(uuid.uuid4().int, spark.sparkContext.broadcast(np.ascontiguousarray(rising).tobytes()))
     rows = docs.select("text").mapInArrow(_prefixes(spec, common), "gram long, cid long, n long, p long")
@@ -362,7 +421,7 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
 def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
     """The census with the component of each document, from rows(gram, cid, n, p)."""
-    own = census.where("gram is null").select("doc_id", F.col("n").alias("n_shingles"), "cid")
+    own = census.select("doc_id", F.col("n").alias("n_shingles"), "cid")
     classes = census.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     roots = components(docs, rows, classes, spec, common, positional)
