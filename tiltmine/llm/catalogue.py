@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmine.llm import byte_bpe, minhash, ngram_join, packing, pu_quality, topk
+from tiltmine.llm import byte_bpe, interpolated_lm, minhash, ngram_join, packing, pu_quality, topk, url_rules
 from tiltmine.llm.shared import table
 
 
@@ -18,10 +18,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,7 +45,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pu_quality": op1_pu_quality,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_url_rules": op4_url_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_interpolated_lm": op6_interpolated_lm,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_fingerprints": op10_fingerprints,
