@@ -318,22 +318,25 @@ def _bounded(spec: Spec):
     return run
 
 
-def _meet(spec: Spec, positional: bool):
+def _meet(spec: Spec, positional: bool, best: bool):
     """Pairs of two blocks of classes that share an n-gram, as far as sizes, places and sketches allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
         n, p, cid, comp = (table.column(c).to_numpy() for c in ("n", "p", "cid", "comp"))
         sketch = np.stack([_counts(x).astype(np.int32) for x in table.column("sketch").to_pylist()])
         left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
-        found = []
+        found, alone = [], table.column("lo")[0] == table.column("hi")[0]
         for i in left:
-            j = right[cid[right] > cid[i]] if table.column("lo")[0] == table.column("hi")[0] else right
+            j = right[cid[right] > cid[i]] if alone and not best else right
             j = j[(comp[j] != comp[i]) & (spec.den * np.minimum(n[i], n[j]) >= spec.num * np.maximum(n[i], n[j]))]
             need = -(-spec.num * (n[i] + n[j]) // (spec.num + spec.den))
             if positional:
                 ok = np.minimum(n[i] - p[i], n[j] - p[j]) >= need
                 j, need = j[ok], need[ok]
-            ok = np.minimum(sketch[j], sketch[i]).sum(axis=1) >= need
+            most = np.minimum(sketch[j], sketch[i]).sum(axis=1)
+            ok = most >= need
+            if best and ok.any():
+                ok = [int(np.argmax(np.where(ok, most - need, -1)))]
             found += [(min(cid[i], cid[k]), max(cid[i], cid[k]), *((n[i], n[k]) if cid[i] < cid[k] else (n[k], n[i]))) for k in j[ok]]
         columns = np.array(found, np.int64).reshape(-1, 4)
         return pa.table({name: pa.array(columns[:, k]) for k, name in enumerate(("a", "b", "na", "nb"))})
@@ -359,44 +362,39 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: Spec,
     return total.where(spec.enough("overlap", "na", "nb"))
 
 
+def _crowd_pairs(crowds: DataFrame, classes: DataFrame, spec: Spec, positional: bool, best: bool) -> DataFrame:
+    """Candidates among many classes that share an n-gram: all, or each class's likeliest.
+
+    Crowds are dealt in blocks: each pair of blocks is a group of bounded size, whatever the crowd.
+    """
+    rows = crowds.join(classes.select("cid", "sketch"), "cid")
+    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(many / {BLOCK}D) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "cid", "n", "p", "comp", "sketch"
+    )
+    return rows.groupBy("gram", "lo", "hi").applyInArrow(_meet(spec, positional, best), "a long, b long, na long, nb long").dropDuplicates(["a", "b"])
+
+
 def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
     """(node, root) over classes, from rows(gram, cid, n, p) in which linked classes share a gram."""
     shared = rows.repartition("gram").withColumn("lo", F.expr("min(cid) over (partition by gram)")).withColumn("hi", F.expr("max(cid) over (partition by gram)"))
     rows = materialize(shared.where("lo <> hi").dropDuplicates(["gram", "cid"]).select("gram", "cid", "n", "p"), "prefixes")
     near = (lambda df: df.where(spec.sizes("na", "nb")).where(spec.enough("least(na - pa, nb - pb)", "na", "nb"))) if positional else (lambda df: df.where(spec.sizes("na", "nb")))
-    # sizes that can be linked are at most one band apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(spec.den / spec.num))).cast("int")
-    crowd = rows.withColumn("band", band)
-    heads = crowd.groupBy("gram", "band").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("p", "cid", "n")).alias("head")).where(F.col("many") > CROWD)
-    led = crowd.join(heads, ["gram", "band"]).select(
-        F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b"),
-        F.when(F.col("cid") < F.col("head.cid"), F.col("n")).otherwise(F.col("head.n")).alias("na"),
-        F.when(F.col("cid") < F.col("head.cid"), F.col("head.n")).otherwise(F.col("n")).alias("nb"),
-        F.col("p").alias("pa"), F.col("head.p").alias("pb"),
-    ).where("a <> b")
-    led = led.where(spec.sizes("na", "nb")).select("a", "b", "na", "nb").dropDuplicates(["a", "b"])
-    led = materialize(led, "led")
-    links = None
-    if not led.isEmpty():
+    many = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD), "crowds")
+    few = rows.join(many, "gram", "left_anti").withColumn("comp", F.col("cid"))
+    links, crowds = None, rows.join(many, "gram").withColumn("comp", F.col("cid"))
+    if not many.isEmpty():
+        led = materialize(_crowd_pairs(crowds, classes, spec, positional, True), "led")
         links = materialize(verified(docs, led, classes, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        first = connected_components(links)
-        rows = rows.join(first, rows.cid == first.node, "left").select("gram", "cid", "n", "p", F.coalesce("root", "cid").alias("comp"))
-        mixed = rows.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-        rows = materialize(rows.join(mixed, "gram", "left_semi"), "mixed")
-    else:
-        rows = rows.withColumn("comp", F.col("cid"))
-    many = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD)
-    few = rows.join(many, "gram", "left_anti")
+        first = materialize(connected_components(links), "first")
+        crowds = rows.join(many, "gram").join(first, rows.cid == first.node, "left").select("gram", "cid", "n", "p", "many", F.coalesce("root", "cid").alias("comp"))
+        mixed = crowds.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
+        crowds = materialize(crowds.join(mixed, "gram", "left_semi"), "mixed")
+        few = few.join(first, few.cid == first.node, "left").select("gram", "cid", "n", "p", F.coalesce("root", "cid").alias("comp"))
     x = few.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
     y = few.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
     met = near(x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))).select("a", "b", "na", "nb")
-    # crowds are dealt in blocks: each pair of blocks is a group of bounded size, whatever the crowd
-    crowds = rows.join(many, "gram").join(classes.select("cid", "sketch"), "cid")
-    crowds = crowds.withColumn("blocks", F.expr(f"cast(ceil(many / {BLOCK}D) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    crowds = crowds.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "cid", "n", "p", "comp", "sketch"
-    )
-    met = met.unionByName(crowds.groupBy("gram", "lo", "hi").applyInArrow(_meet(spec, positional), "a long, b long, na long, nb long"))
+    met = met.unionByName(_crowd_pairs(crowds, classes, spec, positional, False))
     met = materialize(met.dropDuplicates(["a", "b"]), "met")
     rest = verified(docs, met, classes, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected_components(links.unionByName(rest) if links is not None else rest)
