@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ from tiltmine.llm.shared import materialize, only
 
 CAPACITY = 4096
 END_ID = 1
-#: White-space separated strings whose ids a worker keeps at hand; beyond that it starts anew.
-CACHE_MOST = 700_000
+#: White-space separated strings whose ids a worker keeps at hand: those used last, in two generations.
+CACHE_MOST = 1_600_000
 #: Pieces that one salt numbers, about.
 SALT_ROWS = 250_000
 
@@ -57,16 +58,22 @@ class _Ids:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > CACHE_MOST:
-            self.known.clear()
-            missing = set().union(*split)
-        new = list(missing)
+        if len(self.known) > CACHE_MOST // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for word in set().union(*split).difference(known):
+            ids = older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+            known[word] = array("I", e.ids).tobytes()
         at = self.known.__getitem__
         return [b"".join(map(at, s)) for s in split]
 
