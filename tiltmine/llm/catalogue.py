@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmine.llm import byte_bpe, interpolated_lm, minhash, ngram_join, packing, pu_quality, topk, url_rules
+from tiltmine.llm import byte_bpe, interpolated_lm, minhash, ngram_join, packing, pu_quality, quotations, surrogates, topk, url_rules
 from tiltmine.llm.shared import table
 
 
@@ -14,6 +15,10 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.anonymise(table(spark, sf_dir, "documents"), count_column="n_entities")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -34,6 +39,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.rebuild(table(spark, sf_dir, "conversations"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -44,13 +53,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pu_quality": op1_pu_quality,
+    "op2_surrogates": op2_surrogates,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_url_rules": op4_url_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_interpolated_lm": op6_interpolated_lm,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quotations": op8_quotations,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

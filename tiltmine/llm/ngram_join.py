@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiltmine.llm import textkit
 from tiltmine.llm.graph import connected_components
@@ -427,3 +428,29 @@ def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: S
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("cid", "component_id")
     return own.join(classes, "cid", "left").select("doc_id", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, spec: Spec) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays for each component.
+
+    The document with the component's smallest id stays (of repeated rows, one);
+    documents without n-grams and rows with a null id stay.
+    """
+    joined = materialize(jaccard_join(docs.select("doc_id", "text"), spec).where("cid is not null and doc_id is not null"), "joined")
+    stay = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min("cid").alias("cid"))
+    gone = joined.select("doc_id", "cid").distinct().join(stay, ["doc_id", "cid"], "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid"))
+    names = docs.columns
+    held = docs.toDF(*[f"c{i}" for i in range(len(names))])  # our own columns cannot clash with the caller's
+    id_at, text_at = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.chunks(batches, text_at):
+            _, _, _, size, cid = _sets(pa.RecordBatch.from_arrays([batch.column(text_at)], names=["text"]), spec)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid, mask=size == 0)], names=[*batch.schema.names, "cid"])
+
+    tagged = held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField("cid", T.LongType())]))
+    kept = tagged.join(gone, (F.col(id_at) == F.col("gone_id")) & (F.col("cid") == F.col("gone_cid")), "left_anti")
+    if not joined.groupBy("doc_id", "cid").count().where("count > 1").isEmpty():
+        single = F.col(id_at).isNotNull() & F.col("cid").isNotNull()
+        kept = kept.where(single).dropDuplicates([id_at, "cid"]).unionByName(kept.where(~single))
+    return kept.drop("cid").toDF(*names)

@@ -30,6 +30,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiltmine.llm import textkit
 from tiltmine.llm.shared import discard, materialize
@@ -243,7 +244,11 @@ def replace(key: bytes, text: str, attempts: dict[tuple[str, str], int], known=N
     return "".join(out) + text[at:], len(spans)
 
 
-_cached = lru_cache(maxsize=100_000)(surrogate)
+@lru_cache(maxsize=100_000)
+def _cached(key: bytes, kind: str, value: str, attempt: int) -> str:
+    return surrogate(key, kind, value, attempt)
+
+
 _ENTITY = "kind string, value string, attempt int, surrogate string"
 
 
@@ -291,7 +296,6 @@ def anonymise(docs: DataFrame, key: bytes = KEY, count_column: str | None = None
     kinds = collision_free(held.select(F.col(f"c{text}").alias("text")), key)
     exceptions = kinds.where("attempt > 0")
     few = exceptions.limit(EXCEPTIONS_MOST + 1).collect()
-    schema = held.schema
     if len(few) <= EXCEPTIONS_MOST:
         attempts, rows = {(r.kind, r.value): r.attempt for r in few}, held
     else:
@@ -307,7 +311,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY, count_column: str | None = None
                 columns[chars] = pa.array([None if t is None else len(t) for t, _ in done], pa.int64()).cast(columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns + [pa.array([n for _, n in done], pa.int32())], names=[*(f"c{i}" for i in range(len(names))), "found"])
 
-    out = rows.mapInArrow(run, schema.add("found", "int") if "found" not in schema.names else schema)
+    out = rows.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField("found", T.IntegerType())]))
     return out.toDF(*names, count_column) if count_column else out.drop("found").toDF(*names)
 
 
