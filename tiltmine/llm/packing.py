@@ -45,11 +45,16 @@ CACHE_MOST = 1_600_000
 SALT_ROWS = 250_000
 
 
+#: Signs that the tokenizer's pattern never joins to a letter or digit before them.
+_TAIL = b".,!%$#&*|;:?"
+
+
 class _Ids:
     """Token ids of texts, as little-endian bytes, by way of their white-space separated strings.
 
     The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its strings in turn.
+    are those of its strings in turn.  It lower-cases, and cuts between a letter or
+    digit and the signs of ``_TAIL``, so a new string is looked up in those two parts.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -65,15 +70,24 @@ class _Ids:
         if len(self.known) > CACHE_MOST // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = []
+        new, parts = set(), []
         for word in set().union(*split).difference(known):
             ids = older.get(word)
-            if ids is None:
-                new.append(word)
-            else:
+            if ids is not None:
                 known[word] = ids
+                continue
+            low = word.lower()
+            core = low.rstrip(_TAIL)
+            if not core[-1:].isalnum():  # nothing in front of the tail that surely ends a match of the tokenizer's pattern
+                core = low
+            pieces = (core, low[len(core) :])
+            parts.append((word, pieces))
+            new.update(x for x in pieces if x and x not in known)
+        new = list(new)
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             known[word] = array("I", e.ids).tobytes()
+        for word, (core, tail) in parts:
+            known[word] = known[core] + known[tail] if tail else known[core]
         at = self.known.__getitem__
         return [b"".join(map(at, s)) for s in split]
 
