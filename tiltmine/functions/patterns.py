@@ -26,5 +26,5 @@ def glob_to_regex(pattern: str, anchored: bool = True) -> str:
         else:
             out.append(re.sub(r"([^\w\s])", r"\\\1", c))
         i += 1
-    body = "(?s)" + "".join(out)
-    return f"^(?:{body})$" if anchored else body
+    body = "".join(out)
+    return f"(?s)^(?:{body})$" if anchored else f"(?s){body}"

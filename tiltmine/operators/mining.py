@@ -75,6 +75,8 @@ def frequent_itemsets(transactions: DataFrame, minimum: int, constraints: Constr
     else:
         baskets = reduced.where(F.size(items) > 0)
         n = baskets.count()
+        if n < minimum:
+            return baskets.select("items", F.lit(0).cast("long").alias("support")).where("false")
         # half a count below, so that rounding up gives the minimum itself
         model = FPGrowth(itemsCol=items, minSupport=(minimum - 0.5) / n).fit(baskets)
         sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))

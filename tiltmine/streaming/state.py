@@ -115,7 +115,7 @@ class PrunedState:
             rows = self._write(rows, f"rows{level}", "tx long, items array<string>, at int, pattern array<string>", v)
 
         since = 4 * (batch_id // 4)
-        padding = updated.join(known, "pattern", "left_anti").select("pattern", F.explode(F.sequence(F.lit(since), F.lit(batch_id))).cast("int").alias("batch_id"), F.lit(0).cast("long").alias("support")).where(F.col("batch_id") < batch_id)
+        padding = updated.join(known, "pattern", "left_anti").select("pattern", F.explode(F.sequence(F.lit(since), F.lit(batch_id))).alias("batch_id"), F.lit(0).cast("long").alias("support")).where(F.col("batch_id") < batch_id)
         untouched = known.join(updated, "pattern", "left_anti").select("pattern", F.lit(batch_id).alias("batch_id"), F.lit(0).cast("long").alias("support"))
         now = old.unionByName(updated).unionByName(padding).unionByName(untouched)
         if v == 0:
