@@ -31,6 +31,7 @@ from tiltmine.llm.shared import materialize, only
 
 K = 5
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+QUERIES_AT_ONCE = 32
 #: Bytes of query blocks up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 BLOCK = "dim int, n int, ids binary, rows binary, vectors binary"
@@ -86,50 +87,48 @@ def _statistics(q: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact products of rows of q with rows of c, pair by pair."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**62:
-        return np.einsum("ij,ij->i", q.astype(np.int64), c.astype(np.int64))
-    exact = (q.astype(object) * c.astype(object)).sum(axis=1)
-    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], dtype=np.int64)
+    """Exact products of all rows of q with all rows of c: float64 where it holds them exactly, else whole numbers of a long's range."""
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**53:
+        return q.astype(np.float64) @ c.astype(np.float64).T
+    return np.clip(q.astype(object) @ c.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest allowed scores; equal ones by smaller id. Columns are in the order of ids."""
+    lowest = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+    open_ = np.where(allowed, scores, lowest)
+    if open_.shape[1] > k:
+        kth = np.partition(open_, open_.shape[1] - k, axis=1)[:, open_.shape[1] - k, None]
+        allowed = allowed & (open_ >= kth)
+    i, j = np.nonzero(allowed)
+    order = np.lexsort((ids[j], ~open_[i, j] if scores.dtype.kind == "i" else -open_[i, j], i))
+    i, j = i[order], j[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep]
 
 
 def search_block(qids: np.ndarray, qrows: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, query row, id, product) of the k best of a block for each query of a block."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows, c = ids[order], rows[order], c[order]
-    fq, fc = q.astype(np.float64), c.astype(np.float64)
-    best_query, best_id, best_score = [], [], []
-    levels = [(_statistics(fq, cuts), _statistics(fc, cuts)) for cuts in _levels(q.shape[1])]
-    step = 32
-    for at in range(0, len(q), step):
-        some = slice(at, at + step)
-        own = rows[None, :] == qrows[some, None]
-        (mq, sq), (mc, sc) = levels[-1]
-        # the most promising by the finest bound give the first threshold
-        # (L (m1-m2)^2 + L (s1-s2)^2 summed is |q|^2 + |c|^2 - 2 (m1 m2 + s1 s2) L, so the bound is the sum of products)
-        coarse = levels[0]
-        bound = coarse[0][0][some] @ coarse[1][0].T + coarse[0][1][some] @ coarse[1][1].T
-        bound[own] = -np.inf
+    levels = [(np.hstack(_statistics(q.astype(np.float64), cuts)), np.hstack(_statistics(c.astype(np.float64), cuts))) for cuts in _levels(q.shape[1])]
+    out: list[tuple] = []
+    for at in range(0, len(q), QUERIES_AT_ONCE):
+        some = slice(at, at + QUERIES_AT_ONCE)
+        alive = rows[None, :] != qrows[some, None]
+        # half of |q|^2 + |c|^2 less the bound of the distance: sums of products of means and of deviations
+        bound = levels[0][0][some] @ levels[0][1].T
         seed = min(4 * k, len(ids))
-        first = np.argpartition(-bound, seed - 1, axis=1)[:, :seed]
-        width = first.shape[1]
-        scores = _products(np.repeat(q[some], width, axis=0), c[first.ravel()]).reshape(-1, width).astype(np.float64)
-        scores[np.take_along_axis(own, first, axis=1)] = -np.inf
-        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if width >= k else np.full(len(scores), -np.inf)
-        alive = ~own
-        for (mq, sq), (mc, sc) in levels:
-            bound = mq[some] @ mc.T + sq[some] @ sc.T
-            alive &= bound * (1 + 1e-9) + 1e-3 * (1 + np.abs(bound) * 1e-6) >= floor[:, None]
-        i, j = np.nonzero(alive)
-        exact = np.concatenate([_products(q[some][i[x : x + (1 << 18)]], c[j[x : x + (1 << 18)]]) for x in range(0, len(i), 1 << 18)] or [np.zeros(0, np.int64)])
-        rank = np.lexsort((ids[j], -exact if exact.min(initial=0) > -(2**63) else np.bitwise_not(exact), i))
-        i, j, exact = i[rank], j[rank], exact[rank]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        best_query.append(i[keep] + at)
-        best_id.append(ids[j[keep]])
-        best_score.append(exact[keep])
-    at = np.concatenate(best_query)
-    return qids[at], qrows[at], np.concatenate(best_id), np.concatenate(best_score)
+        first = np.unique(np.argpartition(bound, len(ids) - seed, axis=1)[:, len(ids) - seed :])
+        scores = np.where(alive[:, first], _products(q[some], c[first]), -np.inf)
+        floor = np.partition(scores, len(first) - k, axis=1)[:, len(first) - k, None] if len(first) >= k else np.full((len(scores), 1), -np.inf)
+        for n, (of_q, of_c) in enumerate(levels):  # coarse to fine, for what is left
+            left = np.flatnonzero(alive.any(axis=0))
+            bound = bound if n == 0 else of_q[some] @ of_c[left].T
+            alive[:, left] &= bound + 1e-6 * (1 + np.abs(bound)) >= floor
+        left = np.flatnonzero(alive.any(axis=0))
+        exact = _products(q[some], c[left])
+        i, j = _best(ids[left], exact, alive[:, left], k)
+        out.append((qids[i + at], qrows[i + at], ids[left[j]], exact[i, j].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _search(k: int):
