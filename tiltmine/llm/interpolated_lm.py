@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmine.llm import textkit
-from tiltmine.llm.shared import materialize, only
+from tiltmine.llm.shared import discard, materialize, only
 
 #: Text of a block, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Distinct n-grams of all blocks that one range answers, about.
-RANGE_NGRAMS = 3 << 20
+RANGE_NGRAMS = 2 << 20
 #: Contexts are bucketed by the power of two of their frequency.
 BUCKETS = 48
 #: Bins of the ratio of the two estimates, per power of two, for the held-out events.
@@ -124,13 +124,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.Re
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Counts as bytes of the narrowest kind, named by the first byte."""
+    """Counts, of the narrowest kind (named by the first byte), compressed; bytes 1-8 are their size."""
     width = 1 if x.max(initial=0) < 1 << 8 else 2 if x.max(initial=0) < 1 << 16 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    raw = x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    raw = pa.decompress(b[9:], decompressed_size=int.from_bytes(b[1:9], "little"), codec="zstd", asbytes=True) if len(b) > 9 else b""
+    return np.frombuffer(raw, f"<u{b[0]}").astype(np.int64)
+
+
+def _pack_rising(x: np.ndarray) -> bytes:
+    """Rising hashes as their first and the gaps, in as few bytes each as the widest gap needs (named by the first byte)."""
+    gaps = np.diff(x)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x[:1].astype("<u8").tobytes() + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpack_rising(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8, offset=9).reshape(-1, b[0])
+    wide = np.zeros((len(raw) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(b, np.uint8, 8, 1)
+    wide[1:, : b[0]] = raw
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _ask(ranges: int):
@@ -146,7 +163,7 @@ def _ask(ranges: int):
                 fit, deleted = block.counts(True, order), block.counts(False, order)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([key] * len(some))]
-                    + [pa.array([f(x[cut[i] : cut[i + 1]]) for i in some], pa.binary()) for f, x in ((np.ndarray.tobytes, grams), (_pack, fit), (_pack, deleted))],
+                    + [pa.array([f(x[cut[i] : cut[i + 1]]) for i in some], pa.binary()) for f, x in ((_pack_rising, grams), (_pack, fit), (_pack, deleted))],
                     names=["order", "range", "block", "grams", "fit", "deleted"],
                 )
 
@@ -156,7 +173,7 @@ def _ask(ranges: int):
 def _answer(table: pa.Table) -> pa.Table:
     """Sums a range and answers each block; a row without a block has the range's totals."""
     order, number = table.column("order")[0], table.column("range")[0]
-    grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+    grams = [_unpack_rising(x) for x in table.column("grams").to_pylist()]
     values, where = np.unique(np.concatenate(grams), return_inverse=True)
     fit, deleted = (np.bincount(where, np.concatenate([_unpack(x) for x in table.column(c).to_pylist()]), minlength=len(values)).astype(np.int64) for c in ("fit", "deleted"))
     cut = np.cumsum([0] + [len(g) for g in grams])
@@ -308,6 +325,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     totals = _Totals(*map(int, sums), fit_docs=int(size.f or 0), docs=int(size.n or 0))
     given = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("order", "range", "fit", "deleted")).alias("answers"))
     joined = materialize(docs.mapInArrow(_payload, PAYLOAD).join(given, "block", "left"), "blocks")
+    discard(answers)
     events = joined.mapInArrow(_held_out_events(totals), "bucket int, level int, events long").groupBy("bucket", "level").agg(F.sum("events").alias("events")).collect()
     weights = learn_weights([(r.bucket, r.level, r.events) for r in events])
     return joined.mapInArrow(_score(totals, weights), SCORES)
