@@ -117,5 +117,7 @@ def judge(pages: DataFrame, parameters: Parameters = Parameters(), rules=LIST) -
     mined = mine(labelled.distinct(), parameters)
     asked = seen.where("listed is null and size(tokens) > 0").select("tokens").distinct()
     said = decide(asked, mined)
-    out = seen.withColumn("key", F.when(F.col("listed").isNull(), F.col("tokens"))).join(said.withColumnRenamed("tokens", "key"), "key", "left")
-    return out.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.coalesce("listed.verdict", "mined", F.lit("allow")).alias("verdict"))
+    # listed pages need no lookup, so they are not dealt by a key that they all lack
+    listed = seen.where("listed is not null").select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.col("listed.verdict").alias("verdict"))
+    others = seen.where("listed is null").join(said, "tokens", "left")
+    return listed.unionByName(others.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("mined", F.lit("allow")).alias("verdict")))
