@@ -37,9 +37,9 @@ from tiltmine.llm import textkit
 from tiltmine.llm.shared import discard, materialize, only
 
 #: Text of a block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct n-grams of all blocks that one range answers, about.
-RANGE_NGRAMS = 2 << 20
+RANGE_NGRAMS = 1 << 20
 #: Contexts are bucketed by the power of two of their frequency.
 BUCKETS = 48
 #: Bins of the ratio of the two estimates, per power of two, for the held-out events.
@@ -227,6 +227,12 @@ def _read(row: dict) -> tuple[_Block, np.ndarray, np.ndarray, np.ndarray, np.nda
     return block, *out
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: a cell is a whole block."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1)
 
@@ -246,7 +252,7 @@ def _held_out_events(totals: _Totals):
         width = BINS * BIN_RANGE + 1
         total = np.zeros(BUCKETS * width, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block, uni, _, bi, _ = _read(row)
                 base, ratio, context = _estimates(block, uni, bi, totals.fit_n, totals.fit_v, totals.fit_docs)
                 own = np.repeat(block.fold == DELETED_FOLD, np.diff(block.offs)) & (context > 0)
@@ -282,7 +288,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score(totals: _Totals, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block, uni, uni_deleted, bi, bi_deleted = _read(row)
                 uni = uni + uni_deleted
                 base, ratio, context = _estimates(block, uni, bi + bi_deleted, totals.n, totals.v, totals.docs)
