@@ -122,7 +122,7 @@ def search_block(qids: np.ndarray, qrows: np.ndarray, q: np.ndarray, ids: np.nda
         floor = np.partition(scores, len(first) - k, axis=1)[:, len(first) - k, None] if len(first) >= k else np.full((len(scores), 1), -np.inf)
         for n, (of_q, of_c) in enumerate(levels):  # coarse to fine, for what is left
             left = np.flatnonzero(alive.any(axis=0))
-            bound = bound if n == 0 else of_q[some] @ of_c[left].T
+            bound = bound[:, left] if n == 0 else of_q[some] @ of_c[left].T
             alive[:, left] &= bound + 1e-6 * (1 + np.abs(bound)) >= floor
         left = np.flatnonzero(alive.any(axis=0))
         exact = _products(q[some], c[left])
