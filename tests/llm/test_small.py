@@ -154,6 +154,15 @@ def test_fingerprints(docs, nothing):
     assert minhash.fingerprints(nothing).count() == 0
 
 
+def test_clusters_are_brute_force(docs, nothing, spark):
+    got = collections.Counter((r.doc_id, r.cluster_id) for r in minhash.clustered(docs).collect())
+    assert got == collections.Counter({(d, c): n for (d, _, c), n in brute_components(TEXTS, 5, 80, 100).items()}) + collections.Counter()
+    rows = edited_copies(60, 12) + [(100 + i, prose(50, 200 + i)) for i in range(40)]
+    got = collections.Counter((r.doc_id, r.cluster_id) for r in minhash.clustered(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter({(d, c): n for (d, _, c), n in brute_components(rows, 5, 80, 100).items()})
+    assert minhash.clustered(nothing).count() == 0
+
+
 def test_fingerprint_likeness_is_jaccard(spark):
     a, b = prose(2000, 21), prose(2000, 22)
     mixed = " ".join(a.split()[:1500] + b.split()[:500])

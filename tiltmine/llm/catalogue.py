@@ -48,7 +48,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return minhash.clustered(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

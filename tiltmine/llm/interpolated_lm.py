@@ -153,6 +153,7 @@ def _unpack_rising(b: bytes) -> np.ndarray:
 def _ask(ranges: int):
     """What each block asks for and brings: (order, range, block, hashes, counts without the deleted fold, counts of it)."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
         for key, parts in _blocks(batches):
@@ -192,6 +193,7 @@ ANSWER = "order int, range int, block string, fit binary, deleted binary"
 PAYLOAD = "block string, docs binary"
 
 
+@textkit.trimmed
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks in one cell each, to travel to their answers."""
     options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -248,6 +250,7 @@ def _estimates(block: _Block, uni: np.ndarray, bi: np.ndarray, n: int, v: int, s
 def _held_out_events(totals: _Totals):
     """Numbers of the deleted fold's events by bucket and by the ratio of their estimates (bin 0: the bigram is new)."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = BINS * BIN_RANGE + 1
         total = np.zeros(BUCKETS * width, np.int64)
@@ -286,6 +289,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(totals: _Totals, weights: np.ndarray):
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):

@@ -3,8 +3,9 @@
 ``ROWS_A * x + ROWS_B`` (multiply-shift universal hashing) of every word shingle,
 the minimum per permutation, in vectorised numpy.  A fingerprint is the 64 minima,
 16 bits each, in hexadecimal.  Likeness of two fingerprints is the share of equal
-minima.  ``near_duplicates`` joins bands of the minima in Spark and keeps the pairs
-whose shingle sets really have the Jaccard similarity asked for.
+minima.  Bands of the minima are joined in Spark, and pairs that meet are kept if
+their shingle sets really have the Jaccard similarity asked for (0.8); documents that
+such pairs connect have one ``cluster_id``, the smallest id among them.
 
 Defined results: a null text is an empty text.  A text of fewer words than a
 shingle is one shingle; texts without words all have the one fingerprint of the
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tiltmine.llm import textkit
-from tiltmine.llm.shared import materialize, only
+from tiltmine.llm.ngram_join import BITS, Spec, class_ids, order_of, sketches, with_components
+from tiltmine.llm.shared import materialize, only, release
 
 PERMUTATIONS = 64
 SHINGLE_WORDS = 5
@@ -37,11 +39,9 @@ ROWS_A = _RNG.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) +
 ROWS_B = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def signatures(column: pa.Array) -> np.ndarray:
-    """The minima of every row's shingles: uint16 of shape (rows, PERMUTATIONS)."""
-    data, offs = textkit.utf8(column)
-    h, soffs = textkit.shingles(*textkit.words(data, offs), SHINGLE_WORDS)
-    out = np.full((len(offs) - 1, PERMUTATIONS), 0xFFFF, dtype=np.uint16)
+def minima(h: np.ndarray, soffs: np.ndarray) -> np.ndarray:
+    """The minima of every row's shingle hashes: uint16 of shape (rows, PERMUTATIONS)."""
+    out = np.full((len(soffs) - 1, PERMUTATIONS), 0xFFFF, dtype=np.uint16)
     some = np.flatnonzero(np.diff(soffs))
     if len(some):
         starts = soffs[some]
@@ -51,6 +51,14 @@ def signatures(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return textkit.shingles(*textkit.words(*textkit.utf8(column)), SHINGLE_WORDS)
+
+
+def signatures(column: pa.Array) -> np.ndarray:
+    return minima(*_shingles(column))
+
+
 def as_text(sig: np.ndarray) -> list[str]:
     flat = sig.astype(">u2").tobytes().hex()
     width = 4 * PERMUTATIONS
@@ -82,7 +90,12 @@ def _fingerprint_group(table: pa.Table) -> pa.Table:
         whole = both.to_pylist()
         after = [*whole[1 : len(rows)], whole[-1]]
         changed = [edited(t, n) for t, n in zip(whole, after)]
-        sig, sig_edited = signatures(both), signatures(pa.array(changed, pa.large_string()))
+        h, soffs = _shingles(both)
+        sig, sig_edited = minima(h, soffs), signatures(pa.array(changed, pa.large_string()))
+        grams, row, offs = textkit.distinct(h >> np.uint64(64 - BITS), soffs, BITS)
+        size = np.diff(offs)
+        sketch = sketches(grams, row, size)[: len(rows)]
+        cid = class_ids(grams, offs, size)[: len(rows)]
         own, following = sig[: len(rows)], sig[1:]
         out.append(pa.RecordBatch.from_arrays(
             [
@@ -93,6 +106,9 @@ def _fingerprint_group(table: pa.Table) -> pa.Table:
                 pa.array(as_text(sig_edited)),
                 pa.array(likeness(own, sig_edited)),
                 pa.array(likeness(own, following)),
+                pa.array(size[: len(rows)], pa.int64()),
+                pa.array(cid, mask=size[: len(rows)] == 0),
+                pa.array(sketch, pa.binary()),
             ],
             names=FINGERPRINTS.names,
         ))
@@ -103,11 +119,12 @@ FINGERPRINTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
     T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
+    T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("sketch", T.BinaryType()),
 ])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each document and of its edited text; see ``edited``.
+    """Fingerprint of each document and of its edited text (see ``edited``), with the number n, class and sketch of its shingles.
 
     Ids are cut into ranges of about GROUP_BYTES of text; each range is shuffled
     once to a group that also gets the first row of the range after it (one row
@@ -139,6 +156,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.groupBy("grp").applyInArrow(_fingerprint_group, FINGERPRINTS)
 
 
+def clustered(docs: DataFrame, near: Spec = Spec(SHINGLE_WORDS, 80, 100)) -> DataFrame:
+    """The fingerprints of all documents with the ``cluster_id`` of their near duplicates.
+
+    Documents of one shingle set are one class.  Classes that agree in a band of minima
+    are candidates; the n-gram join's verification decides, and its treatment of crowds holds here too.
+    """
+    spark = docs.sparkSession
+    prints = materialize(fingerprints(docs), "fingerprints")
+    release(spark)  # the texts that were dealt by id
+    classes = prints.where("cid is not null").groupBy("cid").agg(F.min("n").alias("n"), F.min("fingerprint").alias("f"))
+    width = 4 * BAND_ROWS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("f"), b * width + 1, F.lit(width))))
+    rows = classes.select(F.explode(bands).alias("gram"), "cid", "n", F.lit(0).cast("long").alias("p"))
+    census = prints.select("doc_id", "n", "cid", "sketch")
+    found = with_components(only(docs, "doc_id", "text"), census, rows, near, order_of(spark, np.zeros(0, np.uint64)), positional=False)
+    clusters = found.where("cid is not null").groupBy("cid").agg(F.min("component_id").alias("cluster_id"))
+    out = prints.join(clusters, "cid", "left").withColumn("cluster_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")))
+    return out.select(*[f.name for f in FINGERPRINTS][:7], "cluster_id")
+
+
 def _bucket(column: str, cuts: list[float]):
     """How many of the rising cuts are at most the column, by a balanced CASE tree."""
 

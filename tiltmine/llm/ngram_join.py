@@ -86,15 +86,20 @@ def _sets(batch: pa.RecordBatch, spec: Spec):
     h, soffs = textkit.shingles(*textkit.words(data, offs), spec.n, BITS)
     h, row, offs = textkit.distinct(h, soffs, BITS)
     size = np.diff(offs)
+    return h, row, offs, size, class_ids(h, offs, size)
+
+
+def class_ids(h: np.ndarray, offs: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each set of n-grams; 0 for an empty one."""
     some = np.flatnonzero(size)
     cid = np.zeros(len(size), np.uint64)
     if len(some):
         m = textkit.mix(h + np.uint64(0x51ED27))
         cid[some] = textkit.mix(np.add.reduceat(m, offs[some]) ^ (np.bitwise_xor.reduceat(textkit.mix(m), offs[some]) << np.uint64(1)) ^ size[some].astype(np.uint64))
-    return h, row, offs, size, cid.view(np.int64)
+    return cid.view(np.int64)
 
 
-def _sketches(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+def sketches(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes | None]:
     slot = row * SKETCH + (h >> np.uint64(BITS - 6)).astype(np.int64)
     counts = np.bincount(slot, minlength=len(size) * SKETCH).reshape(len(size), SKETCH)
     low = counts.astype(np.uint8)
@@ -107,11 +112,12 @@ def _counts(sketch: bytes) -> np.ndarray:
 
 
 def _census(spec: Spec):
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
             h, row, _, size, cid = _sets(batch, spec)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(_sketches(h, row, size), pa.binary())], names=["doc_id", "n", "cid", "sketch"]
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(sketches(h, row, size), pa.binary())], names=["doc_id", "n", "cid", "sketch"]
             )
 
     return run
@@ -120,6 +126,7 @@ def _census(spec: Spec):
 def _tallies(spec: Spec, parts: int):
     """Numbers of documents by n-gram, for the counted hashes: sorted arrays, cut into parts of the range."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = np.uint64(int(COUNTED * (1 << BITS)))
         edges = np.array([int(most) * i // parts for i in range(1, parts)], np.uint64)
@@ -192,6 +199,11 @@ class _Order:
 _ORDERS: dict[int, _Order] = {}
 
 
+def order_of(spark, rising: np.ndarray) -> _Common:
+    """The global order with these n-grams last, by rising count."""
+    return _Common(uuid.uuid4().int, spark.sparkContext.broadcast(np.ascontiguousarray(rising, dtype=np.uint64).tobytes()))
+
+
 def _order(common) -> _Order:
     if common.id not in _ORDERS:
         _ORDERS.clear()
@@ -208,6 +220,7 @@ class _Common:
 def _prefixes(spec: Spec, common: _Common):
     """The rare end of each document: n-gram, class, size of the set, place in the order."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _order(common), set()
         for batch in textkit.chunks(batches):
@@ -238,6 +251,7 @@ def _prefixes(spec: Spec, common: _Common):
 def _fragments(spec: Spec, common: _Common, bits):
     """The fragments of the documents that the filter lets through, once per class and task."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _order(common), set()
         wanted = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").astype(bool)
@@ -270,6 +284,7 @@ def _wide(blob: pa.Scalar) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+@textkit.trimmed
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, lefts, rights = [], batch.column("x"), batch.column("y")
@@ -309,6 +324,7 @@ def _filter_bits(ids: DataFrame) -> bytes:
 def _bounded(spec: Spec):
     """Pairs whose sketches leave room for a link: the overlap is at most the sum of the smaller counts."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = [int(np.minimum(_counts(x), _counts(y)).sum()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
@@ -413,7 +429,7 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     tallies = docs.select("text").mapInArrow(_tallies(spec, parts), "part int, grams binary, times binary").groupBy("part").applyInArrow(_sum_tallies, "gram long, times long")
     often = tallies.orderBy(F.desc("times"), "gram").limit(COMMON_MOST).select("gram").toPandas()
     rising = often.gram.to_numpy(dtype=np.int64).view(np.uint64)[::-1]
-    common = _Common(uuid.uuid4().int, spark.sparkContext.broadcast(np.ascontiguousarray(rising).tobytes()))
+    common = order_of(spark, rising)
     rows = docs.select("text").mapInArrow(_prefixes(spec, common), "gram long, cid long, n long, p long")
     return with_components(docs, census, rows, spec, common)
 
@@ -443,6 +459,7 @@ def one_of_each(docs: DataFrame, spec: Spec) -> DataFrame:
     held = docs.toDF(*[f"c{i}" for i in range(len(names))])  # our own columns cannot clash with the caller's
     id_at, text_at = f"c{names.index('doc_id')}", f"c{names.index('text')}"
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches, text_at):
             _, _, _, size, cid = _sets(pa.RecordBatch.from_arrays([batch.column(text_at)], names=["text"]), spec)

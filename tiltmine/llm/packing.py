@@ -40,7 +40,7 @@ from tiltmine.llm.shared import materialize, only
 CAPACITY = 4096
 END_ID = 1
 #: White-space separated strings whose ids a worker keeps at hand: those used last, in two generations.
-CACHE_MOST = 1_600_000
+CACHE_MOST = 700_000
 #: Pieces that one salt numbers, about.
 SALT_ROWS = 250_000
 
@@ -66,21 +66,21 @@ class _Ids:
         self.older: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]
         if len(self.known) > CACHE_MOST // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new, parts = set(), []
-        for word in set().union(*split).difference(known):
+        here = set().union(*split)
+        for word in here.difference(known):
             ids = older.get(word)
             if ids is not None:
                 known[word] = ids
                 continue
-            low = word.lower()
-            core = low.rstrip(_TAIL)
+            core = word.rstrip(_TAIL)
             if not core[-1:].isalnum():  # nothing in front of the tail that surely ends a match of the tokenizer's pattern
-                core = low
-            pieces = (core, low[len(core) :])
+                core = word
+            pieces = (core, word[len(core) :])
             parts.append((word, pieces))
             new.update(x for x in pieces if x and x not in known)
         new = list(new)
@@ -88,7 +88,7 @@ class _Ids:
             known[word] = array("I", e.ids).tobytes()
         for word, (core, tail) in parts:
             known[word] = known[core] + known[tail] if tail else known[core]
-        at = self.known.__getitem__
+        at = {word: known[word] for word in here}.__getitem__  # small, and so faster than the whole cache
         return [b"".join(map(at, s)) for s in split]
 
 
@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     with open(path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(json.dumps(json.load(f)))  # as large as the vocabulary
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -307,6 +308,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = F.expr("row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1")
     numbered = salted.withColumn("own", own).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("number"))
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
         key = t[:, 0] << 48 | t[:, 1]

@@ -165,6 +165,7 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the texts of a bounded number of ids."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in features(batch.column("text"))], pa.binary())], names=["doc_id", "x"])
@@ -187,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, parameters: Parameters = Parameter
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every whole text."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(features(batch.column("text"))))], names=["doc_id", "score"])
@@ -206,6 +208,7 @@ def accepted(docs: DataFrame, labels: DataFrame, parameters: Parameters = Parame
     at = docs.columns.index("text")
     schema = docs.schema
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= parameters.threshold))

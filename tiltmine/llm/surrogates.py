@@ -253,6 +253,7 @@ _ENTITY = "kind string, value string, attempt int, surrogate string"
 
 
 def _entities(key: bytes):
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
             found = {(kind, canonical(kind, t[a:b])) for t in batch.column("text").to_pylist() if t for a, b, kind in find(t)}
@@ -263,6 +264,7 @@ def _entities(key: bytes):
 
 
 def _again(key: bytes):
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [_cached(key, r["kind"], r["value"], r["attempt"]) for r in batch.to_pylist()]
@@ -301,6 +303,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY, count_column: str | None = None
     else:
         attempts, rows = None, _with_exceptions(held, f"c{text}", exceptions, key)
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches, f"c{text}"):
             own = [{(a["kind"], a["value"]): a["attempt"] for a in x or []} for x in batch.column("attempts").to_pylist()] if attempts is None else None
@@ -318,6 +321,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY, count_column: str | None = None
 def _with_exceptions(held: DataFrame, text: str, exceptions: DataFrame, key: bytes) -> DataFrame:
     """Rows with the exceptions that their own text has."""
 
+    @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
             rows = [(m, k, v) for m, t in zip(batch.column("mark").to_pylist(), batch.column("text").to_pylist()) if t for k, v in {(kind, canonical(kind, t[a:b])) for a, b, kind in find(t)}]

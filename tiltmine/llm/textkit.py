@@ -6,6 +6,9 @@ Python object is made per word.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +38,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def trimmed(run):
+    """A function over batches that trims when it is through."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
