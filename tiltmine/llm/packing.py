@@ -70,24 +70,33 @@ class _Ids:
         if len(self.known) > CACHE_MOST // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new, parts = set(), []
+        before = older.get
         here = set().union(*split)
+        new, parts = set(), []
         for word in here.difference(known):
-            ids = older.get(word)
+            ids = before(word)
             if ids is not None:
                 known[word] = ids
                 continue
             core = word.rstrip(_TAIL)
-            if not core[-1:].isalnum():  # nothing in front of the tail that surely ends a match of the tokenizer's pattern
-                core = word
-            pieces = (core, word[len(core) :])
-            parts.append((word, pieces))
-            new.update(x for x in pieces if x and x not in known)
+            if core is word or not core[-1:].isalnum():  # no tail, or nothing before it that surely ends a match of the tokenizer's pattern
+                new.add(word)
+            else:
+                parts.append((word, core))
+        for _, core in parts:
+            if core not in known:
+                ids = before(core)
+                if ids is None:
+                    new.add(core)
+                else:
+                    known[core] = ids
+        tails = {word[len(core) :] for word, core in parts}
+        new |= tails.difference(known)
         new = list(new)
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             known[word] = array("I", e.ids).tobytes()
-        for word, (core, tail) in parts:
-            known[word] = known[core] + known[tail] if tail else known[core]
+        for word, core in parts:
+            known[word] = known[core] + known[word[len(core) :]]
         at = {word: known[word] for word in here}.__getitem__  # small, and so faster than the whole cache
         return [b"".join(map(at, s)) for s in split]
 
