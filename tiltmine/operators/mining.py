@@ -60,17 +60,33 @@ def subsets(items: Column, max_len: int | None = None, min_len: int = 1) -> Colu
 
 
 def counted_subsets(transactions: DataFrame, max_len: int | None = None, items: str = "items", by: tuple[str, ...] = ()) -> DataFrame:
-    """(items, support) of every subset that occurs."""
-    rows = transactions.select(*by, F.explode(subsets(F.col(items), max_len)).alias("items"))
+    """(items, support) of every subset that occurs.
+
+    Short subsets are made by generators alone, which compile; longer ones by folding.
+    """
+    if max_len is not None and max_len <= 3:
+        rows = _short_subsets(transactions.select(*by, F.array_sort(F.array_distinct(items)).alias("_all")), max_len, by)
+    else:
+        rows = transactions.select(*by, F.explode(subsets(F.array_sort(F.array_distinct(items)), max_len)).alias("items"))
     return rows.groupBy(*by, "items").agg(F.count(F.lit(1)).alias("support"))
 
 
+def _short_subsets(rows: DataFrame, max_len: int, by: tuple[str, ...]) -> DataFrame:
+    """Each item with what follows it: alone, then with a later item or none, then with a later one still or none."""
+    rows = rows.select(*by, "_all", F.posexplode("_all").alias("_at", "_item")).select(*by, "_all", "_at", F.array("_item").alias("items"))
+    for _ in range(max_len - 1):
+        rest = F.expr("transform(slice(_all, _at + 2, size(_all)), (x, i) -> struct(_at + i + 1 as at, x as x))")
+        # no more items: a place behind the last one ends the growth
+        grown = rows.select(*by, "_all", "items", "_at", F.explode(F.concat(F.array(F.struct(F.size("_all").alias("at"), F.lit(None).cast("string").alias("x"))), rest)).alias("_next"))
+        rows = grown.select(*by, "_all", F.col("_next.at").alias("_at"), F.when(F.col("_next.x").isNull(), F.col("items")).otherwise(F.concat("items", F.array("_next.x"))).alias("items"))
+    return rows.select(*by, "items")
+
+
 def frequent_itemsets(transactions: DataFrame, minimum: int, constraints: Constraints | None = None, max_len: int | None = None, items: str = "items") -> DataFrame:
     """(items, support) of the sets in at least ``minimum`` transactions (1 at least) that pass the constraints; items sorted."""
     minimum = max(1, minimum)
     reduced = only_frequent(transactions.select(items), minimum, items)
-    longest = reduced.agg(F.max(F.size(items))).first()[0] or 0
-    if longest <= EXPANDED_ITEMS or (max_len is not None and max_len <= 3):
+    if (max_len is not None and max_len <= 3) or (reduced.agg(F.max(F.size(items))).first()[0] or 0) <= EXPANDED_ITEMS:
         sets = counted_subsets(reduced, max_len, items).where(F.col("support") >= minimum)
     else:
         baskets = reduced.where(F.size(items) > 0)

@@ -47,7 +47,7 @@ class Analyst:
 
     def load(self, state: DataFrame, sizes: DataFrame) -> Analyst:
         """Goes on with supports(items, batch_id, support) and sizes(batch_id, events, transactions)."""
-        self.state, self.sizes = state, sizes
+        self.state, self.sizes, self.transactions = state, sizes, None
         self.n = (sizes.agg(F.max("batch_id")).first()[0] or 0) + 1 if not sizes.isEmpty() else 0
         return self
 
@@ -59,12 +59,20 @@ class Analyst:
         return windows.events_in(self.sizes, self.n, *self._buckets(span))
 
     def itemsets_of(self, span: str | tuple[int, int]) -> DataFrame:
-        """All frequent itemsets of a range, unconstrained."""
+        """All frequent itemsets of a range, unconstrained.
+
+        From transactions at hand, only those of the range and only their frequent items are
+        expanded; from stored state, the range's batches are summed.
+        """
+        if self.transactions is not None:
+            low, high = tilted.batch_range(self.n, *self._buckets(span))
+            own = self.transactions.where(F.col("batch_id").between(low, high))
+            return mining.frequent_itemsets(own, mining.minimum_count(self.options.sigma, self.events(span), strict=True), max_len=self.options.max_len)
         return windows.range_itemsets(self.state, self.n, *self._buckets(span), self.options.sigma, self.events(span))
 
     def mine(self, span: str | tuple[int, int] = "all") -> DataFrame:
         """Rules of a range."""
-        supports = self.itemsets_of(span)
+        supports = self.itemsets_of(span).cache()  # frequent sets of one range: read for sets, antecedents and items
         wanted = with_consequent(self.itemsets, self.consequent)
         return rules.mine(wanted.filter(supports), supports, self.options.confidence, self.consequent)
 
