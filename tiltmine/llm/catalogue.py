@@ -66,6 +66,23 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard_join": r"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), g as (
+    select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g
+    from w
+), s as (select doc_id, cast(len(g) as bigint) as n from g),
+e as (select doc_id, unnest(g) as gram from g),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as o from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join s a on a.doc_id = x join s b on b.doc_id = y where 100 * o >= 90 * (a.n + b.n - o)),
+both_ways as (select x, y from l union all select y, x from l),
+reach as (select x, y from both_ways union select r.x, b.y from reach r join both_ways b on b.x = r.y)
+select s.doc_id, s.n as n_shingles, least(s.doc_id, coalesce(min(reach.y), s.doc_id)) as component_id
+from s left join reach on reach.x = s.doc_id group by s.doc_id, s.n
+""",
     "op9_exact_top_k": """
 with v as (
     select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
