@@ -24,6 +24,7 @@ Repeated rows are packed each.  No documents give no rows.  Extra columns are ig
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,16 +46,127 @@ CACHE_MOST = 700_000
 SALT_ROWS = 250_000
 
 
+_NO_RANK = np.int32(2**31 - 1)
 #: Signs that the tokenizer's pattern never joins to a letter or digit before them.
 _TAIL = b".,!%$#&*|;:?"
 
 
+class _Merges:
+    """Byte-pair merges of many words at once, one merge a word and round: the pair of lowest rank, the leftmost of equals."""
+
+    def __init__(self, tokenizer_json: str):
+        model = json.loads(tokenizer_json)["model"]
+        vocabulary = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs], np.int64)
+        # an open table, so that a pair is found in a few steps for all words at once
+        self.bits = 18
+        self.table, self.rank_at = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NO_RANK, np.int32)
+        left, slot, self.steps = np.arange(len(keys)), self._slot(keys), 0
+        while len(left):
+            self.steps += 1
+            free = left[self.table[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.table[slot[put]], self.rank_at[slot[put]] = keys[put], put
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        signs = _byte_signs()
+        self.inner = np.array([vocabulary[c] for c in signs], np.int64)
+        self.last = np.array([vocabulary[c + model["end_of_word_suffix"]] for c in signs], np.int64)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; no rank where there is no such merge, or no id (-1)."""
+        key = a.astype(np.int64) << 20 | b
+        slot = self._slot(key)
+        there = self.table[slot]
+        out = np.where(there == key, self.rank_at[slot], _NO_RANK)
+        on = np.flatnonzero((there != key) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
+            there = self.table[slot[on]]
+            hit = there == key[on]
+            out[on[hit]] = self.rank_at[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one match of the tokenizer's pattern each, normalised."""
+        out: list[bytes] = [b""] * len(words)
+        length = np.array([len(w) for w in words])
+        for lo, hi in ((1, 6), (7, 9), (10, 12), (13, 16), (17, 24), (25, 48), (49, int(length.max(initial=0)))):
+            chosen = np.flatnonzero((length >= lo) & (length <= hi))
+            for at in range(0, len(chosen), 4096):
+                rows = chosen[at : at + 4096]
+                for i, row in zip(rows, self._merged([words[i] for i in rows], length[rows])):
+                    out[i] = row
+        return out
+
+    def _merged(self, words: list[bytes], length: np.ndarray) -> list[bytes]:
+        n, width = len(words), int(length.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        place = np.arange(width)
+        w = width + 1  # a place behind the last one, without an id
+        ids = np.full((n, w), -1, np.int64)
+        ids[:, :width] = np.where(place < length[:, None] - 1, self.inner[raw], np.where(place == length[:, None] - 1, self.last[raw], -1))
+        ranks = np.full((n, w), _NO_RANK, np.int32)
+        ranks[:, :width] = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width)
+        after = np.tile(np.minimum(np.arange(1, w + 1), width), n)
+        before = np.tile(np.arange(-1, w - 1), n)
+        flat, base, live = ids.ravel(), np.arange(n) * w, ranks
+        while len(base):
+            at = live.argmin(axis=1)
+            least = live[np.arange(len(base)), at]
+            some = least < _NO_RANK
+            if not some.all():
+                base, live, at, least = base[some], live[some], at[some], least[some]
+            own = np.arange(len(base)) * w
+            right = after[base + at]
+            behind = after[base + right]
+            flat[base + at] = self.made[least]
+            flat[base + right] = -1
+            after[base + at] = behind
+            before[base + behind] = at
+            cells = live.ravel()
+            cells[own + right] = _NO_RANK
+            cells[own + at] = self._rank(flat[base + at], flat[base + behind])
+            front = before[base + at]
+            has = np.flatnonzero(front >= 0)
+            cells[own[has] + front[has]] = self._rank(flat[base[has] + front[has]], flat[base[has] + at[has]])
+        small = flat[flat >= 0].astype("<u4").tobytes()
+        ends = np.cumsum((flat.reshape(n, w) >= 0).sum(axis=1)) * 4
+        return [small[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _byte_signs() -> list[str]:
+    """The signs that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+def _one_match(word: bytes) -> bytes | None:
+    """The word as the tokenizer normalises it, if that surely is one match of its pattern: letters of the Latin blocks."""
+    if word.isalpha():  # of ASCII alone; lower case already
+        return word
+    text = word.decode()
+    if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+        return text.lower().encode()
+    return None
+
+
 class _Ids:
     """Token ids of texts, as little-endian bytes, by way of their white-space separated strings.
 
     The tokenizer drops white space and never looks across it, so a text's ids
     are those of its strings in turn.  It lower-cases, and cuts between a letter or
     digit and the signs of ``_TAIL``, so a new string is looked up in those two parts.
+    New parts of Latin letters alone are merged here, many at once; the tokenizer does
+    all others.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -62,6 +174,7 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.merges = _Merges(tokenizer_json)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -92,12 +205,14 @@ class _Ids:
                     known[core] = ids
         tails = {word[len(core) :] for word, core in parts}
         new |= tails.difference(known)
-        new = list(new)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        plain = {word: one for word in new if (one := _one_match(word)) is not None}
+        known.update(zip(plain, self.merges.ids(list(plain.values()))))
+        odd = [word for word in new if word not in plain]
+        for word, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             known[word] = array("I", e.ids).tobytes()
         for word, core in parts:
             known[word] = known[core] + known[word[len(core) :]]
-        at = {word: known[word] for word in here}.__getitem__  # small, and so faster than the whole cache
+        at = known.__getitem__
         return [b"".join(map(at, s)) for s in split]
 
 
