@@ -50,7 +50,7 @@ COUNT_AT_ONCE = 1 << 20
 #: Classes that share an n-gram are compared with one of them first if there are more than this.
 CROWD = 16
 #: A sketch has the numbers of a set's n-grams by so many leading hash values.
-SKETCH = 64
+SKETCH = 256
 #: Bytes of an n-gram's hash that overlaps are counted by, within a fragment of two documents.
 GRAM_BYTES = 5
 #: Classes of a crowd that are compared with each other at a time.
@@ -100,7 +100,7 @@ def class_ids(h: np.ndarray, offs: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def sketches(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    slot = row * SKETCH + (h >> np.uint64(BITS - 6)).astype(np.int64)
+    slot = row * SKETCH + (h >> np.uint64(BITS - 8)).astype(np.int64)
     counts = np.bincount(slot, minlength=len(size) * SKETCH).reshape(len(size), SKETCH)
     low = counts.astype(np.uint8)
     wide = counts.max(axis=1, initial=0) > 255
