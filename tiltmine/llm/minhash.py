@@ -171,7 +171,8 @@ def clustered(docs: DataFrame, near: Spec = Spec(SHINGLE_WORDS, 80, 100)) -> Dat
     rows = classes.select(F.explode(bands).alias("gram"), "cid", "n", F.lit(0).cast("long").alias("p"))
     census = prints.select("doc_id", "n", "cid", "sketch")
     found = with_components(only(docs, "doc_id", "text"), census, rows, near, order_of(spark, np.zeros(0, np.uint64)), positional=False)
-    clusters = found.where("cid is not null").groupBy("cid").agg(F.min("component_id").alias("cluster_id"))
+    clusters = materialize(found.where("cid is not null").groupBy("cid").agg(F.min("component_id").alias("cluster_id")), "clusters")
+    release(spark)  # the bands and the shingles that were compared
     out = prints.join(clusters, "cid", "left").withColumn("cluster_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")))
     return out.select(*[f.name for f in FINGERPRINTS][:7], "cluster_id")
 
