@@ -507,6 +507,30 @@ def test_collisions_are_resolved(spark, monkeypatch, most):
     assert got[1] == f"from {table[whole[0]].surrogate} to {table[real].surrogate}" and got[2] == f"{table[whole[1]].surrogate} and {table[whole[0]].surrogate}" and got[3] is None and got[4] == "clean"
 
 
+def test_exhausted_formats_get_wider_ones(spark):
+    names = [f"Mr. {c}" for c in "AEO"] + ["Mr. É"] + [f"Ms. {a}{b}" for a in "BCDFGHJKLMNP" for b in "aeiou"]
+    texts = [f"{n}. was here" for n in names] + ["Password: ________", "token: ......", "password: пароль", "secret: 密码密码密码", "secret: !?!?-!?", "password: Ünïcödé", "call +1 23 45 67"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = surrogates.collision_free(docs, SECRET).collect()
+    made = {(r.kind, r.surrogate) for r in table}
+    assert len(made) == len(table) and not made & {(r.kind, r.value) for r in table}
+    got = [r.text for r in sorted(surrogates.anonymise(docs, SECRET).collect(), key=lambda r: r.doc_id)]
+    blank = len(names)
+    assert got[blank : blank + 2] == texts[blank : blank + 2] and len(set(got)) == len(texts)
+    assert all(surrogates.find(a) == [] or a != b for a, b in zip(texts, got)) and not any(x in "".join(got) for x in ("пароль", "密码", "!?!?-!?", "Ünïcödé"))
+    assert re.fullmatch(r"password: [а-я]{6}", got[blank + 2])
+
+
+@pytest.mark.parametrize(("kind", "text"), [("ip", "7.0.0.1"), ("card", "4111 1111 1111 1111"), ("card", "4111 1111 1111 1112"), ("ssn", "123-45-6789"), ("phone", "(988) 555-2485"), ("phone", "+1 988 555 2485"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "A@x.com"), ("key", "sk-________________"), ("secret", "deadbeef"), ("name", "Al")])
+def test_every_kind_has_wider_formats(kind, text):
+    value, last = surrogates.canonical(kind, text), surrogates.MOST_ROUNDS
+    made = [surrogates.surrogate(SECRET, kind, value, a) for a in range(last)]
+    assert len(set(made[surrogates.NARROW :])) == last - surrogates.NARROW and all(len(a) > len(value) for a in made[surrogates.NARROW :])
+    for m in made[surrogates.NARROW :]:
+        shown = surrogates.render(kind, text, m)
+        assert surrogates.canonical(kind, shown) == m and (kind != "card" or surrogates.luhn(m) == surrogates.luhn(value))
+
+
 # ---- quotations
 
 

@@ -11,10 +11,15 @@ that has them.
 
 A surrogate can still be another real entity of the corpus, or, where formats were
 mended, another's surrogate.  Both are looked for over all documents; entities in
-such a collision are permuted once more, until none is left.
+such a collision are permuted once more, until none is left.  A format can be
+exhausted (more than half of its values are real) or have nothing to permute; after
+NARROW attempts surrogates are therefore drawn from wider formats, longer by one more
+character each attempt, so there is always a free one.
 
 Defined results: null texts stay null, texts without entities stay as they are.
-Overlapping finds keep the one that starts first, then the longer.  Repeated rows
+Overlapping finds keep the one that starts first, then the longer.  A secret that
+is one sign repeated ("________") is a blank and no entity; one with letters of which
+no alphabet is known gets Latin letters for them.  Repeated rows
 get the same text.  All columns are kept; ``n_chars`` follows the new text where it
 is there.  Text inside a surrogate is not searched again.
 """
@@ -40,6 +45,8 @@ KEY = b"replace this key in production"
 EXCEPTIONS_MOST = 50_000
 #: Rounds of collision checks after which the key is at fault.
 MOST_ROUNDS = 20
+#: Attempts within an entity's own format; those after it are longer by one character more each time.
+NARROW = 4
 
 _TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Господин": "m", "Κύριος": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Госпожа": "f", "Κυρία": "f"}
 _GIVEN = {
@@ -54,6 +61,7 @@ _GENDER = {name.lower(): key for key, names in _GIVEN.items() for name in names}
 _POOLS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _POOL = {c: pool for pool in _POOLS for c in pool}
 _HEX = "0123456789abcdef"
+_ALPHABET = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": _POOLS[3] + _POOLS[4], "greek": _POOLS[5] + _POOLS[6]}
 
 _PATTERNS = [
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), "@"),
@@ -88,6 +96,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             start, end = m.span(m.lastindex or 0)
             own = text[start:end]
+            if kind == "secret" and len(set(own)) == 1 and not own[0].isalnum():
+                continue
             if kind == "iban" and not _iban_ok(own.replace(" ", "")):
                 continue
             if kind == "card" and not 13 <= sum(c.isdigit() for c in own) <= 19:
@@ -146,6 +156,27 @@ def _word(key: bytes, tweak: str, value: str) -> str:
     return _shuffled(key, tweak, value, [_POOL.get(c, "") for c in value])
 
 
+def _drawn(key: bytes, tweak: str, value: str, pools: list[str]) -> str:
+    """A character of each pool, drawn by all of ``value``; a character of ``value`` for an empty pool."""
+    at = [hmac.new(key, f"{tweak}\0drawn\0{i}\0{value}".encode(), hashlib.sha256).digest()[:8] if p else b"" for i, p in enumerate(pools)]
+    return "".join(p[int.from_bytes(a, "big") % len(p)] if p else value[i] for i, (p, a) in enumerate(zip(pools, at)))
+
+
+def _broad(c: str) -> str:
+    """All letters of a letter's script and case (Latin ones where it has no alphabet here), all digits for a digit."""
+    if c.isdigit():
+        return _POOLS[0]
+    alphabet = _ALPHABET[_script(c)] if c.isalpha() else ""
+    return alphabet.upper() if c.isupper() else alphabet
+
+
+def _wider(key: bytes, tweak: str, value: str, more: int, kept: int = 0) -> str:
+    """``value`` drawn anew but for its first ``kept`` characters, with ``more`` letters of its script after it."""
+    pools = ["" if i < kept else _broad(c) for i, c in enumerate(value)]
+    pools = pools if any(pools) else [""] * kept + [_ALPHABET["latin"]] * (len(value) - kept)
+    return _drawn(key, tweak, value, pools + [_ALPHABET[_script(value)]] * more)
+
+
 def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
@@ -161,40 +192,42 @@ def canonical(kind: str, text: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The surrogate of a canonical value; another one for each attempt."""
+    """The surrogate of a canonical value; another one for each attempt, longer ones from NARROW on."""
     tweak = f"{kind}\0{attempt}"
+    more = max(0, attempt - NARROW + 1)
+    extra = lambda pool: _drawn(key, tweak, value, [pool] * more)
     if kind == "email":
         local, domain = value.split("@")
         labels, top = domain.rsplit(".", 1)
-        return f"{_word(key, tweak, local)}@{_word(key, tweak + 'domain', labels)}.{top}"
+        return f"{_word(key, tweak, local)}{extra(_ALPHABET['latin'])}@{_word(key, tweak + 'domain', labels)}.{top}"
     if kind == "ip":
         private = lambda n: n >> 24 in (0, 10, 127) or n >> 24 >= 224 or n >> 16 in (0xA9FE, 0xC0A8) or n >> 20 == 0xAC1
         n = own = int.from_bytes(bytes(map(int, value.split("."))), "big")
         while True:
             n = permute(key, tweak, n, 1 << 32)
             if private(n) == private(own):
-                return ".".join(map(str, n.to_bytes(4, "big")))
+                return ".".join([*map(str, n.to_bytes(4, "big")), *extra(_POOLS[0])])
     if kind == "card":
         valid, body = luhn(value), value[1:-1]
         if valid:
-            out = value[0] + _shuffled(key, tweak + "valid", body, [_POOLS[0]] * len(body))
+            out = value[0] + _shuffled(key, tweak + "valid", body, [_POOLS[0]] * len(body)) + extra(_POOLS[0])
             return next(out + d for d in _POOLS[0] if luhn(out + d))
         out = value
         while True:
             out = value[0] + _shuffled(key, tweak, out[1:], [_POOLS[0]] * (len(out) - 1))
             if not luhn(out):
-                return out
+                return next(x for d in _POOLS[0] if not luhn(x := out + extra(_POOLS[0])[1:] + d)) if more else out
     if kind in ("phone", "ssn"):
         ten = kind == "phone" and len(value) == 10
         good = lambda s: s[0] != "0" and not (ten and (s[0] < "2" or s[3] < "2"))
         out, wanted = value, good(value)
         while True:
             out = _shuffled(key, tweak, out, [_POOLS[0]] * len(out))
-            if not wanted or good(out):
-                return out
+            if (not wanted or good(out)) and not (more == 1 and len(out) == 10 and out[0] == "1"):  # that would be read without its 1
+                return out + extra(_POOLS[0])
     if kind == "iban":
         n = [(_POOLS[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz") for c in value[4:]]
-        body = _shuffled(key, tweak, value[4:], n)
+        body = _shuffled(key, tweak, value[4:], n) + extra(_POOLS[0])
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
     if kind == "name":
@@ -205,12 +238,16 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             if place:
                 names = [n.lower() for n in _GIVEN[place]]
                 out.append(names[permute(key, tweak + "given" + "".join(place), names.index(w), len(names))])
+            elif more and i == len(words) - 1:
+                out.append(_wider(key, tweak + "surname", w, more))
             else:
                 out.append(_word(key, tweak + "surname" + _script(w), w))
         return " ".join(out)
     if kind == "secret" and all(c in _HEX for c in value):
-        return _shuffled(key, tweak, value, [_HEX] * len(value))
+        return _shuffled(key, tweak, value, [_HEX] * len(value)) + extra(_HEX)
     fixed = 4 if kind == "key" and value[:4] in ("AKIA", "ASIA") else 3 if kind == "key" else 0
+    if more or any(c.isalnum() and not c.isascii() for c in value) or not any(c.isalnum() for c in value[fixed:]):
+        return _wider(key, tweak, value, more, fixed)
     pools = ["" if i < fixed else _POOLS[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else "" for i, c in enumerate(value)]
     return _shuffled(key, tweak, value, pools)
 
@@ -224,10 +261,10 @@ def render(kind: str, text: str, value: str) -> str:
     if kind == "name":
         return " ".join(n.upper() if len(o) > 1 and o.isupper() else n[:1].upper() + n[1:] for o, n in zip(text.split(" "), value.split(" ")))
     places = [i for i, c in enumerate(text) if c.isalnum()]
-    out = list(text)
-    for i, c in zip(places[len(places) - len(value) :], value):
+    out, own = list(text), value[: len(places)]
+    for i, c in zip(places[len(places) - len(own) :], own):
         out[i] = c.upper() if text[i].isupper() else c
-    return "".join(out)
+    return "".join(out) + value[len(places) :]
 
 
 def replace(key: bytes, text: str, attempts: dict[tuple[str, str], int], known=None) -> tuple[str, int]:
