@@ -114,6 +114,17 @@ def test_one_of_each(docs, nothing):
     assert ngram_join.one_of_each(nothing, ngram_join.Spec()).count() == 0
 
 
+def test_one_of_each_keeps_a_document_of_each_group_of_a_shared_id(spark):
+    a, b = prose(80, 31), prose(80, 32)
+    near = " ".join([*b.split()[:-1], "other"])
+    for x, y in ((a, b), (b, a)):
+        rows = [(5, x), (5, y), (9, near), (9, y)]
+        kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Spec(5, 80, 100)).collect()]
+        assert sorted(kept) == sorted([(5, a), (5, b)])
+    two = ngram_join.one_of_each(spark.createDataFrame([(5, b), (5, near), (7, a)], "doc_id long, text string"), ngram_join.Spec(5, 80, 100)).collect()
+    assert sorted(r.doc_id for r in two) == [5, 7]
+
+
 def test_join_of_nothing(nothing):
     assert ngram_join.jaccard_join(nothing).count() == 0
 

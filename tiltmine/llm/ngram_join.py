@@ -417,8 +417,8 @@ def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec,
     return connected_components(links.unionByName(rest) if links is not None else rest)
 
 
-def jaccard_join(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """(doc_id, n_shingles, cid, component_id), a row per row of ``docs``.
+def jaccard_join(docs: DataFrame, spec: Spec = Spec(), rooted: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, cid, component_id), a row per row of ``docs``; ``rooted`` adds the class that a component is led by.
 
     ``cid`` names the class of documents with the same n-gram set (null: no n-grams).
     """
@@ -431,10 +431,10 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     rising = often.gram.to_numpy(dtype=np.int64).view(np.uint64)[::-1]
     common = order_of(spark, rising)
     rows = docs.select("text").mapInArrow(_prefixes(spec, common), "gram long, cid long, n long, p long")
-    return with_components(docs, census, rows, spec, common)
+    return with_components(docs, census, rows, spec, common, rooted=rooted)
 
 
-def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
+def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True, rooted: bool = False) -> DataFrame:
     """The census with the component of each document, from rows(gram, cid, n, p)."""
     own = census.select("doc_id", F.col("n").alias("n_shingles"), "cid")
     classes = census.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
@@ -442,18 +442,20 @@ def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: S
     roots = components(docs, rows, classes, spec, common, positional)
     classes = classes.join(roots, classes.cid == roots.node, "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("cid", "component_id")
-    return own.join(classes, "cid", "left").select("doc_id", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = classes.join(least, "root").select("cid", "component_id", *(["root"] if rooted else []))
+    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return own.join(classes, "cid", "left").select("doc_id", "n_shingles", "cid", component, *(["root"] if rooted else []))
 
 
 def one_of_each(docs: DataFrame, spec: Spec) -> DataFrame:
     """The rows of ``docs``, all columns, of which one stays for each component.
 
-    The document with the component's smallest id stays (of repeated rows, one);
-    documents without n-grams and rows with a null id stay.
+    The document with the component's smallest id stays (of repeated rows, one; of
+    unlike rows of that id in one component, the one with the smallest class); documents without n-grams and rows with a null id stay.
     """
-    joined = materialize(jaccard_join(docs.select("doc_id", "text"), spec).where("cid is not null and doc_id is not null"), "joined")
-    stay = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min("cid").alias("cid"))
+    joined = materialize(jaccard_join(docs.select("doc_id", "text"), spec, rooted=True).where("cid is not null and doc_id is not null"), "joined")
+    # an id on unlike texts can be the smallest of several components, so they are told apart by their roots
+    stay = joined.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "cid")).alias("s")).select("s.doc_id", "s.cid")
     gone = joined.select("doc_id", "cid").distinct().join(stay, ["doc_id", "cid"], "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid"))
     names = docs.columns
     held = docs.toDF(*[f"c{i}" for i in range(len(names))])  # our own columns cannot clash with the caller's
