@@ -463,6 +463,29 @@ def test_mined_rules_are_brute_force(spark):
         assert x.mined == max(fired)[-1]
 
 
+def test_whole_urls_are_mined(spark):
+    listed = [f"http://a{i}.example.com/de/x/ads/{i}" for i in range(20)] + [f"http://b{i}.example.net/en/y/z?affiliate=me&n={i}#top" for i in range(20)]
+    listed += [f"http://c.d.e.example.net/en/{i}" for i in range(20)] + [f"http://b{i}.org/fr/q?tracker=1" for i in range(20)]
+    others = ["http://new.test/u/v/ads/9", "http://new.test/u?n=5&tracker=4", "http://new.test/u", "http://new.test/#top"]
+    lists = (*url_rules.LIST, ("block", "org/fr/q"))
+    rows = list(enumerate(listed + others))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, rules=lists).collect()}
+    assert [got[len(listed) + i] for i in range(3)] == ["block", "block", "allow"]
+    u = F.col("url")
+    made = {r.url: r.t for r in pages.select("url", url_rules.tokens(u, url_rules.host(u), url_rules.path(u)).alias("t")).collect()}
+    assert {"path4=0", "path3=ads", "host3=a0.example.com"} <= set(made[listed[0]]) and "host5=c.d.e.example.net" in made[listed[40]]
+    assert {"query", "name=affiliate", "value=affiliate=me", "name=n", "value=n=0", "fragment=top"} <= set(made[listed[20]])
+
+
+def test_every_labelled_page_counts(spark):
+    rows = ["http://x.example.net/en/ads"] * 200 + [f"http://h{c}.net/k/ads" for c in "abcde"] + ["http://other.test/z/ads"]
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=(("allow", "example.net/en/"), ("block", "net/k"))).collect()}
+    assert got[205] == "allow"
+    labelled = spark.createDataFrame([(["t"], "allow")] * 200 + [(["t", f"u{i}"], "block") for i in range(5)], "tokens array<string>, verdict string")
+    assert {(x.verdict, x.support) for x in url_rules.mine(labelled).collect() if list(x.tokens) == ["t"]} == {("allow", 200)}
+
+
 # ---- surrogates
 
 SECRET = b"a key of these tests"

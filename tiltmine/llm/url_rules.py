@@ -1,7 +1,9 @@
 """URL filtering by association rules, in DataFrame and SQL functions only.
 
-A URL is a set of tokens: the suffixes of its host, the first parts of its path
-(with runs of digits written alike), its extension and whether it has a query.
+A URL is a set of tokens: all suffixes of its host, all parts of its path by their
+place, its extension, whether it has a query, the names of the query and the names
+with their values, and the fragment (runs of digits of parts, names, values and
+fragments are written alike).  Only support prunes them, and every labelled page counts.
 URLs that a given list rules on are the labelled ones.  FP-growth mines the token
 sets that go with a verdict; rules ``tokens => verdict`` are kept by support and
 confidence, and dropped where a subset of their tokens has a rule of the same
@@ -37,12 +39,10 @@ ALLOW, BLOCK = "verdict=allow", "verdict=block"
 
 @dataclass(frozen=True)
 class Parameters:
-    """support: share of the labelled token sets; at most 1 / support * 2**slots sets are frequent, which bounds the rules."""
+    """support: share of the labelled pages; a URL of n frequent tokens has up to 2**n frequent sets."""
 
     support: float = 0.002
     confidence: float = 0.8
-    host_suffixes: int = 3
-    path_parts: int = 2
 
 
 def host(url: Column) -> Column:
@@ -67,19 +67,24 @@ def list_rule(h: Column, p: Column, rules=LIST) -> Column:
     return out
 
 
-def tokens(url: Column, h: Column, p: Column, parameters: Parameters) -> Column:
-    """At most host_suffixes + path_parts + 2 distinct tokens."""
+def tokens(url: Column, h: Column, p: Column) -> Column:
+    """The distinct tokens of the whole URL."""
+    alike = lambda x: F.regexp_replace(x, r"[0-9]+", "0")
+    none = F.array().cast("array<string>")
     label = F.split(h, r"\.")
-    found = [
-        F.when((F.size(label) >= k) & (h != ""), F.concat(F.lit(f"host{k}="), F.array_join(F.slice(label, -k, k), "."))) for k in range(1, parameters.host_suffixes + 1)
-    ]
-    part = F.filter(F.split(p, "/"), lambda x: x != "")
-    for k in range(1, parameters.path_parts + 1):
-        found.append(F.concat(F.lit(f"path{k}="), F.regexp_replace(F.try_element_at(part, F.lit(k)), r"[0-9]+", "0")))
+    hosts = F.transform(label, lambda _, i: F.concat(F.lit("host"), (i + 1).cast("string"), F.lit("="), F.array_join(F.slice(label, -1 - i, i + 1), ".")))
+    parts = F.transform(F.filter(F.split(p, "/"), lambda x: x != ""), lambda x, i: F.concat(F.lit("path"), (i + 1).cast("string"), F.lit("="), alike(x)))
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: x != "")
+    names = F.transform(pairs, lambda x: F.concat(F.lit("name="), alike(F.substring_index(x, "=", 1))))
+    values = F.transform(F.filter(pairs, lambda x: F.contains(x, F.lit("="))), lambda x: F.concat(F.lit("value="), alike(x)))
+    fragment = F.regexp_extract(url, r"(?s)^[^#]*#(.*)$", 1)
     extension = F.regexp_extract(p, r"\.([A-Za-z0-9]{1,8})$", 1)
-    found.append(F.when(extension != "", F.concat(F.lit("ext="), F.lower(extension))))
-    found.append(F.when((h != "") & F.contains(url, F.lit("?")), F.lit("query")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    flags = F.array(
+        F.when(extension != "", F.concat(F.lit("ext="), F.lower(extension))), F.when((h != "") & F.contains(url, F.lit("?")), F.lit("query")),
+        F.when((h != "") & (fragment != ""), F.concat(F.lit("fragment="), alike(fragment))),
+    )
+    found = F.concat(F.when(h != "", F.concat(hosts, names, values)).otherwise(none), parts, F.array_compact(flags))
+    return F.when(url.isNull(), none).otherwise(F.array_sort(F.array_distinct(found)))
 
 
 def mine(labelled: DataFrame, parameters: Parameters = Parameters()) -> DataFrame:
@@ -112,9 +117,9 @@ def decide(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, parameters: Parameters = Parameters(), rules=LIST) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page."""
     seen = only(pages, "page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
-    seen = seen.withColumn("listed", list_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"), parameters))
+    seen = seen.withColumn("listed", list_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     labelled = seen.where("listed is not null").select("tokens", F.col("listed.verdict").alias("verdict"))
-    mined = mine(labelled.distinct(), parameters)
+    mined = mine(labelled, parameters)
     asked = seen.where("listed is null and size(tokens) > 0").select("tokens").distinct()
     said = decide(asked, mined)
     # listed pages need no lookup, so they are not dealt by a key that they all lack
