@@ -587,6 +587,16 @@ def test_quotations(spark):
     assert quotations.rebuild(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_short_passages_link_in_their_conversation(spark):
+    rows = [
+        (1, 0, "user", "Yes, agreed"), (1, 1, "assistant", "> Yes, agreed\nFine."), (1, 2, "user", "> Fine.\nThanks!"), (2, 0, "user", "> Thanks!\nhello"),
+        (3, 0, "user", "好的。"), (3, 1, "assistant", "> 好的。\n明白"), (3, 2, "user", "> a line that nobody has said\n> 明白\nwell"), (3, 3, "user", "> \n> \nempty"),
+    ]
+    got = {(r.conv_id, r.turn): (r.linked, r.reply_to, r.thread, r.depth) for r in quotations.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1] == (1, 0, 0, 1) and got[1, 2] == (1, 1, 0, 2) and got[3, 1] == (1, 0, 0, 1)
+    assert got[2, 0][:2] == got[3, 2][:2] == got[3, 3][:2] == (0, None)
+
+
 def test_a_frequent_line_does_not_multiply(spark):
     rows = [(1, i, "user", "> the very same line again\nthe very same line again") for i in range(200)]
     _, links = quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

@@ -5,7 +5,9 @@ message and parsed into passages: runs of lines of one level.  A passage is
 normalised (marks off, white space squeezed, lower case) and hashed, as a whole and
 line by line; so are the unquoted texts, paragraphs and lines of all messages.  A
 passage is linked to the earliest earlier message that says it: in its own
-conversation, or else in any other.  A message replies to the latest message that
+conversation, or else in any other.  Passages of which every line is short
+(LEAST_CHARS) are linked by their short parts too, within their conversation and where
+no longer part is found; short parts never link conversations.  A message replies to the latest message that
 its outermost quotes are linked to; threads are the trees of replies.
 
 Frequent lines do not multiply: of all messages that say a line, only the first of
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tiltmine.llm import textkit
 from tiltmine.llm.shared import discard, materialize, only
 
-#: Lines shorter than this (normalised) say too little to be linked on their own.
+#: Texts, paragraphs and lines shorter than this (normalised) say too little to be linked across conversations.
 LEAST_CHARS = 12
 #: Doublings of the reply chain that are followed; 2**MOST_STEPS replies deep.
 MOST_STEPS = 40
@@ -76,24 +78,31 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n"), [(level, "\n".join(lines)) for level, lines in passages]
 
 
-def keys(text: str) -> set[int]:
-    """Hashes of a text, its paragraphs and its lines, normalised."""
+def keys(text: str, least: int = LEAST_CHARS) -> set[int]:
+    """Hashes of a text, its paragraphs and its lines, normalised, of ``least`` characters or more."""
     parts = [text, *re.split(r"\n\s*\n", text), *text.split("\n")]
-    return {fingerprint(n) for n in map(normalised, parts) if len(n) >= LEAST_CHARS}
+    return {fingerprint(n) for n in map(normalised, parts) if len(n) >= least}
 
 
-_PARSED = "row long, conv_id long, turn long, role string, text string, said array<long>, quoted array<struct<level:int,whole:long,lines:array<long>>>"
+def short_keys(passage: str) -> set[int]:
+    """Hashes of the short parts of a passage that has no other lines."""
+    if any(len(normalised(line)) >= LEAST_CHARS for line in passage.split("\n")):
+        return set()
+    return keys(passage, 1) - keys(passage)
+
+
+_PARSED = "row long, conv_id long, turn long, role string, text string, said array<long>, quoted array<struct<level:int,long:array<long>,short:array<long>>>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quote = pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.int64()), ("lines", pa.list_(pa.int64()))]))
+    quote = pa.list_(pa.struct([("level", pa.int32()), ("long", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))]))
     for batch in textkit.chunks(batches):
         texts, said, quoted = [], [], []
         for t in batch.column("text").to_pylist():
             own, passages = (None, []) if t is None else parse(t)
             texts.append(own)
-            said.append(sorted(keys(own or "")))
-            quoted.append([{"level": level, "whole": fingerprint(normalised(q)), "lines": sorted(keys(q))} for level, q in passages])
+            said.append(sorted(keys(own or "", 1)))
+            quoted.append([{"level": level, "long": sorted(keys(q)), "short": sorted(short_keys(q))} for level, q in passages])
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in ("row", "conv_id", "turn", "role")] + [pa.array(texts, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, quote)],
             names=["row", "conv_id", "turn", "role", "text", "said", "quoted"],
@@ -110,16 +119,20 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = parsed.where("turn is not null").select("conv_id", "turn", F.explode("said").alias("hash"))
     here = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
     passages = parsed.where("turn is not null").select("row", "conv_id", "turn", F.posexplode("quoted").alias("passage", "q"))
-    asked = passages.select("row", "conv_id", "turn", "passage", "q.level", F.explode(F.array_distinct(F.concat(F.array("q.whole"), "q.lines"))).alias("hash"))
+    marked = lambda column, wide: F.transform(column, lambda h: F.struct(h.alias("hash"), F.lit(wide).alias("wide")))
+    asked = passages.select("row", "conv_id", "turn", "passage", "q.level", F.explode(F.concat(marked("q.long", True), marked("q.short", False))).alias("k"))
+    asked = asked.select("row", "conv_id", "turn", "passage", "level", "k.hash", "k.wide")
     asked = materialize(asked, "asked")
-    # only what is asked for is looked up
-    wanted = asked.select("hash").distinct()
-    here = here.join(wanted, "hash", "left_semi")
-    there = here.groupBy("hash").agg(F.min(F.struct(F.col("here").alias("turn"), "conv_id")).alias("there"))
+    # only what is asked for is looked up elsewhere, and nothing short
+    wanted = asked.where("wide").select("hash").distinct()
+    there = here.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct(F.col("here").alias("turn"), "conv_id")).alias("there"))
     found = asked.alias("a").join(here.alias("h"), F.col("a.conv_id").eqNullSafe(F.col("h.conv_id")) & (F.col("a.hash") == F.col("h.hash")) & (F.col("h.here") < F.col("a.turn")), "left")
     found = found.select("a.*", F.when(F.col("here").isNotNull(), F.struct(F.col("here").alias("turn"), F.col("a.conv_id").alias("conv_id"))).alias("near"))
-    found = found.join(there, "hash", "left").withColumn("far", F.when(~F.col("there.conv_id").eqNullSafe(F.col("conv_id")), F.col("there")))
-    best = found.groupBy("row", "passage", "level").agg(F.max("near").alias("near"), F.min("far").alias("far"))
+    wide = found.where("wide").join(there, "hash", "left").withColumn("far", F.when(~F.col("there.conv_id").eqNullSafe(F.col("conv_id")), F.col("there")))
+    wide = wide.select("row", "passage", "level", "near", "far", F.lit(None).cast("struct<turn:long,conv_id:long>").alias("brief"))
+    short = found.where("not wide").select("row", "passage", "level", F.lit(None).cast("struct<turn:long,conv_id:long>").alias("near"), F.lit(None).cast("struct<turn:long,conv_id:long>").alias("far"), F.col("near").alias("brief"))
+    best = wide.unionByName(short).groupBy("row", "passage", "level").agg(F.max("near").alias("near"), F.min("far").alias("far"), F.max("brief").alias("brief"))
+    best = best.withColumn("near", F.coalesce("near", F.when(F.col("far").isNull(), F.col("brief"))))
     links = best.withColumn("to", F.coalesce("near", "far")).where("to is not null").select("row", "passage", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"), F.col("near").isNotNull().alias("inside"))
     return parsed, links
 
