@@ -190,6 +190,14 @@ def test_fingerprints_in_many_groups(spark, monkeypatch):
     assert got == {d: hashlib.sha256(minhash.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest() for i, (d, t) in enumerate(rows)}
 
 
+def test_fingerprints_of_null_ids_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 200)
+    rows = [(i, prose(60, i)) for i in range(200)] + [(None, prose(60, 900 + i)) for i in range(3)]
+    got = collections.Counter((r.doc_id, r.edited_sha256) for r in minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == collections.Counter((d, hashlib.sha256(minhash.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(rows))
+
+
 # ---- byte BPE and packing
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -134,7 +134,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     groups = max(1, int((total.b or 0) // GROUP_BYTES) + 1)
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / groups for i in range(1, groups)], 1 / (20 * groups)))) if groups > 1 else []
-    group = F.coalesce(sum((F.col("doc_id") >= F.lit(int(c))).cast("int") for c in cuts) if len(cuts) <= 64 else _bucket("doc_id", cuts), F.lit(0)) if cuts else F.lit(0)
+    cut = sum((F.col("doc_id") >= F.lit(int(c))).cast("int") for c in cuts) if len(cuts) <= 64 else _bucket("doc_id", cuts)
+    group = F.when(F.col("doc_id").isNull(), 0).otherwise(cut) if cuts else F.lit(0)
     docs = docs.withColumn("grp", group).withColumn("rank", F.when(F.col("doc_id").isNull(), 0).otherwise(1))
     # one row a group, for the group before it
     heads = docs.groupBy("grp").agg(F.min("rank").alias("rank"), F.min("doc_id").alias("doc_id")).collect()
