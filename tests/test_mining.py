@@ -54,7 +54,11 @@ def test_wildcard_all_needs_every_match(ten):
     vocabulary = mining.item_support(ten).select("item")
     c = Constraints().add(Kind.ALL, "[AC]*")
     assert as_dict(c.filter(mining.frequent_itemsets(ten, 4), vocabulary)) == {"AC": 4}
-    assert c.items_of(Kind.ALL, vocabulary) == {"A", "C"}
+    assert {r.item for r in c.items_of(Kind.ALL, vocabulary).collect()} == {"A", "C"}
+    assert {r.name for r in vocabulary.toDF("name").select("name").collect()} > {r.item for r in c.items_of(Kind.ALL, vocabulary.toDF("name"), "name").collect()} == {"A", "C"}
+    assert as_dict(Constraints().add(Kind.NOT_ALL, "[AC]*").filter(mining.frequent_itemsets(ten, 4), vocabulary)) == {"A": 6, "B": 5, "C": 8, "D": 4, "BC": 4}
+    for kind in (Kind.ALL, Kind.NOT_ALL):
+        assert as_dict(Constraints().add(kind, "[XY]*").filter(mining.frequent_itemsets(ten, 4), vocabulary)) == {}
 
 
 def test_default_constraints():
@@ -107,6 +111,36 @@ def test_expansion_and_fp_growth_agree_with_brute_force(spark, baskets, least):
         assert {"".join(sorted(r["items"])): r.freq for r in fp.collect()} == want
 
 
+@pytest.mark.parametrize(("literal", "expanded", "max_len"), [(256, 14, None), (256, 14, 2), (3, 14, None), (256, 2, None), (256, 2, 3), (3, 14, 3), (3, 2, 2)])
+def test_every_way_gives_the_same_sets(spark, ten, monkeypatch, literal, expanded, max_len):
+    want = {k: v for k, v in as_dict(mining.counted_subsets(ten)).items() if v >= 2 and len(k) <= (max_len or 9)}
+    monkeypatch.setattr(mining, "LITERAL_ITEMS", literal)
+    monkeypatch.setattr(mining, "EXPANDED_ITEMS", expanded)
+    assert as_dict(mining.frequent_itemsets(ten, 2, max_len=max_len)) == want
+
+
+def test_subsets_that_no_long_holds(spark):
+    rows = spark.createDataFrame([([f"item{i:03d}" for i in range(s, s + 13)],) for s in (0, 50, 50, 90)], "items array<string>")
+    got = mining.frequent_itemsets(rows, 2)
+    assert got.count() == 2**13 - 1 and got.where("support <> 2").isEmpty()
+
+
+def test_tree_size(ten):
+    sets, ranked = mining.frequent_itemsets(ten, 1), mining.ranked_items(ten, 1)
+    want = {"".join(sorted(s, key="CABDE".index)) for s in as_dict(sets)}
+    nodes = {p[:i] for p in want for i in range(1, len(p) + 1)}
+    leaves = {n for n in nodes if not any(m != n and m.startswith(n) for m in nodes)}
+    assert tuple(mining.tree_size(sets, ranked).first()) == (len(want), len(nodes), len(leaves))
+    few = sets.where("size(items) = 2 and array_contains(items, 'E')")
+    assert tuple(mining.tree_size(few, ranked).first()) == (1, 2, 1)
+
+
+def test_consequents_of_many_items(spark):
+    sets = spark.createDataFrame([([f"i{i}", "z"], 5) for i in range(12_000)] + [(["z"], 50)], "items array<string>, support long")
+    supports = sets.unionByName(spark.createDataFrame([([f"i{i}"], 5) for i in range(12_000)], "items array<string>, support long"))
+    assert rules.mine(sets, supports, 0.1, Constraints().add(Kind.ANY, "i*")).count() == 12_000
+
+
 def test_compare(spark):
     make = lambda rows: spark.createDataFrame([([a], ["s"], s, c) for a, s, c in rows], "antecedent array<string>, consequent array<string>, support long, confidence double")
     older, newer = make([("x", 10, 0.5), ("y", 5, 0.4)]), make([("x", 30, 0.8), ("z", 7, 0.3)])

@@ -15,7 +15,7 @@ NOT_ALL nothing; with ``compat`` a category without a known item is passed over.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -48,67 +48,73 @@ class Constraints:
     def __bool__(self) -> bool:
         return any(self.of.values())
 
-    def categories(self, vocabulary: DataFrame, column: str = "item") -> list[tuple[Kind, str | None, list[str]]]:
-        """(kind, wildcard or None, known items): an exact name counts as itself, even with a ``*`` in it."""
-        names = sorted(n for names in self.of.values() for n in names)
-        known = vocabulary.select(F.col(column).alias("item")).distinct()
-        exact = {r.item for r in known.where(F.col("item").isin(names)).collect()} if names else set()
+    def categories(self, vocabulary: DataFrame, column: str = "item") -> list[tuple[Kind, str | None, list[str], int]]:
+        """(kind, wildcard or None, known plain names, number of known items): an exact name counts as itself, even with a ``*`` in it.
+
+        One aggregation over the vocabulary: a flag a name, a count a wildcard; items themselves are not collected.
+        """
+        names = sorted({n for names in self.of.values() for n in names})
+        if not names:
+            return []
+        item = F.col(column)
+        flags = [F.coalesce(F.bool_or(item == n), F.lit(False)).alias(f"is{i}") for i, n in enumerate(names)]
+        counts = [F.count_if(item.rlike(glob_to_regex(n))).alias(f"n{i}") for i, n in enumerate(names) if has_wildcard(n)]
+        row = vocabulary.select(column).distinct().agg(*flags, *counts).first()
+        exact = {n for i, n in enumerate(names) if row[f"is{i}"]}
         out = []
         for kind, own in self.of.items():
             plain = sorted(n for n in own if not has_wildcard(n) or n in exact)
             if plain:
-                out.append((kind, None, [n for n in plain if n in exact]))
-            for wildcard in sorted(own - set(plain)):
-                # items of one wildcard, on the driver only where their number matters to the predicate
-                needs = kind in (Kind.ALL, Kind.NOT_ALL)
-                match = known.where(F.col("item").rlike(glob_to_regex(wildcard)))
-                out.append((kind, wildcard, [r.item for r in (match if needs else match.limit(1)).collect()]))
+                known = [n for n in plain if n in exact]
+                out.append((kind, None, known, len(known)))
+            out += [(kind, w, [], row[f"n{names.index(w)}"]) for w in sorted(own - set(plain))]
         return out
 
-    def items_of(self, kind: Kind, vocabulary: DataFrame, column: str = "item") -> set[str]:
-        """All known items that the categories of a kind hold."""
-        names = sorted(self.of.get(kind, ()))
+    def items_of(self, kind: Kind, vocabulary: DataFrame, column: str = "item") -> DataFrame:
+        """(item): all known items that the categories of a kind hold."""
         test = F.lit(False)
-        for n in names:
+        for n in sorted(self.of.get(kind, ())):
             test = test | ((F.col(column) == n) | F.col(column).rlike(glob_to_regex(n)) if has_wildcard(n) else F.col(column) == n)
-        return {r[0] for r in vocabulary.select(column).where(test).distinct().collect()}
-
-    def predicate(self, items: Column, vocabulary: DataFrame | None = None, column: str = "item") -> Column:
-        """Whether ``items`` pass. Without a vocabulary, names count as known and ALL / NOT_ALL take no wildcards."""
-        test = F.lit(True)
-        if vocabulary is None:
-            found = []
-            for kind, own in self.of.items():
-                plain = sorted(n for n in own if not has_wildcard(n))
-                found += [(kind, None, plain)] if plain else []
-                for wildcard in sorted(own - set(plain)):
-                    if kind in (Kind.ALL, Kind.NOT_ALL):
-                        raise ValueError(f"{kind} of a wildcard needs a vocabulary")
-                    found.append((kind, wildcard, [wildcard]))
-        else:
-            found = self.categories(vocabulary, column)
-        for kind, wildcard, known in found:
-            if not known and self.compat:
-                continue
-            test = test & _test(kind, wildcard, known, items, len([n for n in self.of[kind] if not has_wildcard(n)]) if wildcard is None else len(known))
+        return vocabulary.where(test).select(F.col(column).alias("item")).distinct()
+
+    def predicate(self, items: Column, vocabulary: DataFrame, column: str = "item") -> Column:
+        """Whether ``items``, all of them known, pass; the vocabulary(item) says which names are known."""
+        return self.compiled(vocabulary, column)(items)
+
+    def compiled(self, vocabulary: DataFrame, column: str = "item") -> Callable[[Column], Column]:
+        """The same for any number of columns, with one look at the vocabulary."""
+        found = [x for x in self.categories(vocabulary, column) if x[3] or not self.compat]
+        asked = {kind: len([n for n in own if not has_wildcard(n)]) for kind, own in self.of.items()}
+
+        def test(items: Column) -> Column:
+            out = F.lit(True)
+            for kind, wildcard, known, number in found:
+                out = out & _test(kind, wildcard, known, number, items, asked[kind])
+            return out
+
         return test
 
-    def filter(self, sets: DataFrame, vocabulary: DataFrame | None = None, items: str = "items") -> DataFrame:
+    def filter(self, sets: DataFrame, vocabulary: DataFrame, items: str = "items") -> DataFrame:
         return sets.where(self.predicate(F.col(items), vocabulary))
 
 
-def _test(kind: Kind, wildcard: str | None, known: list[str], items: Column, wanted: int) -> Column:
-    rx = None if wildcard is None else glob_to_regex(wildcard)
-    literal = F.array(*[F.lit(n) for n in known]).cast("array<string>")
-    has_any = F.exists(items, lambda x: x.rlike(rx)) if rx else F.arrays_overlap(items, literal) if known else F.lit(False)
-    has_all = F.size(F.array_except(literal, items)) == 0
+def _test(kind: Kind, wildcard: str | None, known: list[str], number: int, items: Column, asked: int) -> Column:
+    """One category: of a wildcard, as many items of the set match as are known if it has all of them."""
+    if wildcard is not None:
+        rx = glob_to_regex(wildcard)
+        has_any = F.exists(items, lambda x: x.rlike(rx))
+        has_all = F.size(F.filter(items, lambda x: x.rlike(rx))) == number
+        reachable = number > 0
+    else:
+        literal = F.array(*[F.lit(n) for n in known]).cast("array<string>")
+        has_any = F.arrays_overlap(items, literal) if known else F.lit(False)
+        has_all = F.size(F.array_except(literal, items)) == 0
+        reachable = 0 < number and (kind is not Kind.ALL or number >= asked)  # an unknown name can never be met
     if kind is Kind.ANY:
-        return has_any & F.lit(bool(known))
+        return has_any & F.lit(reachable)
     if kind is Kind.NONE:
         return ~has_any
-    if kind is Kind.ALL:
-        return has_all & F.lit(bool(known) and len(known) == wanted)  # an unknown name can never be met
-    return ~has_all & F.lit(bool(known))
+    return (has_all if kind is Kind.ALL else ~has_all) & F.lit(reachable)
 
 
 def defaults() -> tuple[Constraints, Constraints]:
