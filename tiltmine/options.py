@@ -7,7 +7,10 @@ from dataclasses import asdict, dataclass, replace
 
 @dataclass(frozen=True)
 class Options:
-    """sigma: minimum support of a result; epsilon: support from which patterns are kept (at most sigma); shares of events."""
+    """sigma: minimum support of a result; epsilon: support from which patterns are kept (at most sigma); shares of events.
+
+    ``batch_seconds`` is the length of a batch, ``thresholds_csv`` a file of thresholds instead of the default ones.
+    """
 
     sigma: float = 0.05
     epsilon: float = 0.04

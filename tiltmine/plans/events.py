@@ -9,6 +9,7 @@ from tiltmine.functions import items as I
 from tiltmine.functions.discretize import with_speed
 from tiltmine.operators import windows
 from tiltmine.sources import thresholds
+from tiltmine.storage import signature, store
 
 THRESHOLDS = """\
 click,fast,15,acceptable,70,slow
@@ -51,3 +52,19 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.with_batches(transactions(spark, sf_dir))
+
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batched`` as a table in the order of batches, written once and read by every question after that.
+
+    It is written anew when one of its source tables has changed.  Filters on batch_id skip its row groups.
+    """
+    sources = tuple(signature(spark, f"{sf_dir}/{t}.parquet*") for t in ("events", "customer", "nation", "region"))
+    key = (spark.sparkContext.applicationId, sf_dir, sources)
+    if key not in _STORED:
+        made = batched(spark, sf_dir)
+        _STORED[key] = store(made.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), "transactions")
+    return _STORED[key]

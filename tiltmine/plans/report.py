@@ -31,7 +31,7 @@ def mined(rules: DataFrame, events: int) -> DataFrame:
 
 
 def _signed(x: Column) -> Column:
-    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_string("%.2f", x))
+    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_string("%.2f", F.round(x, 2)))
 
 
 def compared(rules: DataFrame, older_events: int, newer_events: int, all_events: int) -> DataFrame:
