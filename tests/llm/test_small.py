@@ -424,11 +424,28 @@ def test_search(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_search_of_large_components():
-    q = np.array([[2**30, 1], [-(2**30), 3]], np.int64)
-    ids, rows = np.array([1, 2]), np.array([1, 2])
-    _, _, found, score = topk.search_block(ids, rows, q, ids, rows, q, 5)
-    assert list(found) == [2, 1] and list(score) == [-(2**60) + 3] * 2
+def brute_search(rows, k=5):
+    import fractions
+
+    whole = [(i, [math.floor(256 * fractions.Fraction(x)) for x in v]) for i, v in rows]
+    out = collections.Counter()
+    for a, (i, q) in enumerate(whole):
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, c)), j) for b, (j, c) in enumerate(whole) if a != b and len(c) == len(q))[:k]
+            out.update((i, n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(best))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [32 << 20, 2000])
+def test_search_of_components_of_any_size(spark, monkeypatch, at_once):
+    r = random.Random(10)
+    monkeypatch.setattr(topk, "ROUND_BYTES", at_once)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    rows = [(i, [r.uniform(-1, 1) * 10 ** r.choice([0, 0, 0, 3, 7, 9, 30, 300]) for _ in range(2)]) for i in range(250)] + [(300, [1e7, 2.0]), (301, [1e7, 2.0]), (302, [1e200, -1e200]), (350, [1e200, 1e200])]
+    rows += [(400 + i, [float(r.choice([-1, 0, 1])) for _ in range(3)]) for i in range(120)]
+    got = collections.Counter(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)).collect())
+    assert got == brute_search(rows)
 
 
 # ---- urls

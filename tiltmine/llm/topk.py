@@ -7,19 +7,23 @@ exceed the sum of these by.  Bounds are taken coarse to fine; a candidate is dro
 when its bound falls below the k-th best product known for the query, and products
 of the survivors are exact integers.
 
-Queries travel in blocks of a fixed number, candidates in blocks that are made where
-they are read.  The query blocks are broadcast while they are below a checked size,
-else both sides are joined by block number.  Every task keeps k rows a query.
+Candidates stay where they are read.  Queries are passed to them in rounds: blocks
+of queries of at most ROUND_BYTES are broadcast, each task compares all of its
+candidates with them, block by block, and carries the k-th best product of each
+query from block to block, so that bounds prune across blocks.  A task gives k rows a query.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components
-take no part; vectors of different length do not meet.  A query never finds its own
+(also after scaling) take no part; vectors of different length do not meet.  A query never finds its own
 row; other rows of the same id count as others.  Equal products rank by the smaller
-id.  Components of 2**31 or more after scaling take no part either (no product of
-theirs is sure to fit a long).  Fewer than k candidates give fewer rows.
+id.  Components of any size take part: where doubles would not be exact, products are
+made of whole numbers of any length.  Ranks follow the exact products; a product
+beyond the range of a long is shown as the nearest long.  Fewer than k candidates give
+fewer rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,44 +35,60 @@ from tiltmine.llm.shared import materialize, only
 
 K = 5
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-QUERIES_AT_ONCE = 32
-#: Bytes of query blocks up to which they are broadcast.
-BROADCAST_BYTES = 32 << 20
+QUERIES_AT_ONCE = 64
+#: Bytes of query blocks that are broadcast at a time.
+ROUND_BYTES = 32 << 20
+#: Vectors with a component of this size or more are kept in blocks of their own.
+LARGE = 1 << 20
 BLOCK = "dim int, n int, ids binary, rows binary, vectors binary"
-
-
-def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
-    """(id, row, q): whole-number vectors of the rows that take part."""
-    v = only(vectors, id_column, vector_column).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    fits = F.expr(f"forall(v, x -> x is not null and not isnan(x) and abs(x * {scale}D) < 2147483648D)")
-    return v.where("id is not null and v is not null and size(v) > 0").where(fits).select("id", F.expr(f"transform(v, x -> cast(floor(x * {scale}D) as int))").alias("q"))
-
-
-def _blocks(size: int):
-    """Packs rows of a partition into blocks of vectors of one length."""
+FOUND = "query_id long, query_row long, vec_id long, score long, beyond binary"
+_LONG = (-(1 << 63), (1 << 63) - 1)
+#: Bytes of a product's order beyond a long: doubles squared, summed over any dimension.
+_WIDE = 300
+
+
+def usable(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
+    """(id, v) of the rows that take part."""
+    v = only(vectors, id_column, vector_column).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+    if dict(v.dtypes)["v"] != "array<float>":
+        v = v.withColumn("v", F.col("v").cast("array<double>"))
+    fits = F.expr(f"forall(v, x -> x is not null and not isnan(x) and abs(cast(x as double) * {scale}D) < double('infinity'))")
+    return v.where("id is not null and v is not null and size(v) > 0").where(fits)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dim, ids, rows, whole-number vectors as doubles) of rows of one length, small and large ones apart."""
+    held: dict[tuple[int, bool], list] = {}
+
+    def out(key) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return (key[0], *(np.concatenate(x) for x in zip(*held.pop(key))))
+
+    for batch in batches:
+        lists = batch.column("v")
+        ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
+        dims = np.asarray(lists.value_lengths())
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            q = np.floor(scale * lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+            large = np.abs(q).max(axis=1) >= LARGE
+            for kind in (False, True):
+                own = np.flatnonzero(large == kind)
+                for part in range(0, len(own), size):
+                    some, key = own[part : part + size], (int(dim), kind)
+                    held.setdefault(key, []).append((ids[at[some]], rows[at[some]], q[some]))
+                    if sum(len(x[0]) for x in held[key]) >= size:
+                        yield out(key)
+    for key in list(held):
+        yield out(key)
+
+
+def _blocks(size: int, scale: float):
+    """Packs the queries of a partition into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, rows, q = (np.concatenate(x) for x in zip(*held.pop(dim)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, q.astype("<i4"))], names=["dim", "n", "ids", "rows", "vectors"]
-            )
-
-        for batch in batches:
-            lists = batch.column("q")
-            ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
-            dims = np.asarray(lists.value_lengths())
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                q = lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, dim)
-                for part in range(0, len(at), size):
-                    held.setdefault(int(dim), []).append((ids[at[part : part + size]], rows[at[part : part + size]], q[part : part + size]))
-                    if sum(len(x[0]) for x in held[dim]) >= size:
-                        yield out(int(dim))
-        for dim in list(held):
-            yield out(dim)
+        for dim, ids, rows, q in _gathered(batches, size, scale):
+            kind = "<f8" if np.abs(q).max() >= LARGE else "<i4"
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, q.astype(kind))], names=["dim", "n", "ids", "rows", "vectors"])
 
     return run
 
@@ -78,84 +98,124 @@ def _levels(dim: int) -> list[np.ndarray]:
     return [np.unique(np.linspace(0, dim, k + 1).astype(int)) for k in (1, 4, 16) if k <= dim]
 
 
-def _statistics(q: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """sqrt(L) * mean and sqrt(L) * deviation of every segment."""
-    length = np.diff(cuts)
-    total = np.add.reduceat(q, cuts[:-1], axis=1)
-    squares = np.add.reduceat(q * q, cuts[:-1], axis=1)
-    return total / np.sqrt(length), np.sqrt(np.maximum(squares - total * total / length, 0))
-
-
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact products of all rows of q with all rows of c: float64 where it holds them exactly, else whole numbers of a long's range."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**53:
-        return q.astype(np.float64) @ c.astype(np.float64).T
-    return np.clip(q.astype(object) @ c.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k largest allowed scores; equal ones by smaller id. Columns are in the order of ids."""
-    lowest = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
-    open_ = np.where(allowed, scores, lowest)
-    if open_.shape[1] > k:
-        kth = np.partition(open_, open_.shape[1] - k, axis=1)[:, open_.shape[1] - k, None]
-        allowed = allowed & (open_ >= kth)
-    i, j = np.nonzero(allowed)
-    order = np.lexsort((ids[j], ~open_[i, j] if scores.dtype.kind == "i" else -open_[i, j], i))
-    i, j = i[order], j[order]
-    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[keep], j[keep]
-
-
-def search_block(qids: np.ndarray, qrows: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, query row, id, product) of the k best of a block for each query of a block."""
-    levels = [(np.hstack(_statistics(q.astype(np.float64), cuts)), np.hstack(_statistics(c.astype(np.float64), cuts))) for cuts in _levels(q.shape[1])]
-    out: list[tuple] = []
-    for at in range(0, len(q), QUERIES_AT_ONCE):
-        some = slice(at, at + QUERIES_AT_ONCE)
-        alive = rows[None, :] != qrows[some, None]
-        # half of |q|^2 + |c|^2 less the bound of the distance: sums of products of means and of deviations
-        bound = levels[0][0][some] @ levels[0][1].T
-        seed = min(4 * k, len(ids))
-        first = np.unique(np.argpartition(bound, len(ids) - seed, axis=1)[:, len(ids) - seed :])
-        scores = np.where(alive[:, first], _products(q[some], c[first]), -np.inf)
-        floor = np.partition(scores, len(first) - k, axis=1)[:, len(first) - k, None] if len(first) >= k else np.full((len(scores), 1), -np.inf)
-        for n, (of_q, of_c) in enumerate(levels):  # coarse to fine, for what is left
+def _statistics(q: np.ndarray) -> list[np.ndarray]:
+    """sqrt(L) * mean and sqrt(L) * deviation of every segment, level by level."""
+    out = []
+    for cuts in _levels(q.shape[1]):
+        length = np.diff(cuts)
+        mean = np.add.reduceat(q, cuts[:-1], axis=1) / length
+        left = q - np.repeat(mean, length, axis=1)
+        out.append(np.hstack([mean * np.sqrt(length), np.sqrt(np.add.reduceat(left * left, cuts[:-1], axis=1))]))
+    return out
+
+
+class Queries:
+    """A block of queries with the best products found so far."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.rows, self.q, self.k = ids, rows, q, k
+        self.top = float(np.abs(q).max(initial=0))
+        self.length = np.sqrt((q * q).sum(axis=1)) if self.top < LARGE else None
+        self.statistics = _statistics(q) if self.top < LARGE else None
+        self.score = np.full((len(q), k), -np.inf)
+        self.found = np.full((len(q), k), _LONG[1], np.int64)
+        self.large: list[list[tuple[int, int]]] = [[] for _ in range(len(q))]  # heaps of (product, -id)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, c: np.ndarray, statistics: list[np.ndarray] | None, length: np.ndarray | None) -> None:
+        """Compares the queries with a block of candidates."""
+        if self.statistics is None or statistics is None or self.top * float(np.abs(c).max(initial=0)) * c.shape[1] >= 2**53:
+            self._meet_large(ids, rows, c)
+            return
+        k = self.k
+        for at in range(0, len(self.q), QUERIES_AT_ONCE):
+            some = slice(at, at + QUERIES_AT_ONCE)
+            alive = rows[None, :] != self.rows[some, None]
+            # half of |q|^2 + |c|^2 less the bound of the distance: sums of products of means and of deviations
+            bound = self.statistics[0][some] @ statistics[0].T
+            slack = 1e-9 * self.length[some, None] * length[None, :] + 1e-6
+            floor = self.score[some, -1:]
+            if not np.isfinite(floor).all():  # nothing to prune by yet: the likeliest give a first floor
+                seed = min(4 * k, len(ids))
+                first = np.unique(np.argpartition(bound, len(ids) - seed, axis=1)[:, len(ids) - seed :])
+                scores = np.where(alive[:, first], self.q[some] @ c[first].T, -np.inf)
+                if len(first) >= k:
+                    floor = np.maximum(floor, np.partition(scores, len(first) - k, axis=1)[:, len(first) - k, None])
+            for n, (of_q, of_c) in enumerate(zip(self.statistics, statistics)):  # coarse to fine, for what is left
+                left = np.flatnonzero(alive.any(axis=0))
+                bound = bound[:, left] if n == 0 else of_q[some] @ of_c[left].T
+                alive[:, left] &= bound + slack[:, left] >= floor
             left = np.flatnonzero(alive.any(axis=0))
-            bound = bound[:, left] if n == 0 else of_q[some] @ of_c[left].T
-            alive[:, left] &= bound + 1e-6 * (1 + np.abs(bound)) >= floor
-        left = np.flatnonzero(alive.any(axis=0))
-        exact = _products(q[some], c[left])
-        i, j = _best(ids[left], exact, alive[:, left], k)
-        out.append((qids[i + at], qrows[i + at], ids[left[j]], exact[i, j].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
+            if len(left):
+                exact = np.where(alive[:, left], self.q[some] @ c[left].T, -np.inf)
+                score = np.hstack([self.score[some], exact])
+                found = np.hstack([self.found[some], np.broadcast_to(ids[left], exact.shape)])
+                order = np.lexsort((found, -score), axis=1)[:, :k]
+                self.score[some], self.found[some] = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+
+    def _meet_large(self, ids: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
+        """The same in whole numbers of any length."""
+        whole = [[int(x) for x in v] for v in c]
+        for i, q in enumerate(self.q):
+            own, heap = [int(x) for x in q], self.large[i]
+            for j, v in enumerate(whole):
+                if rows[j] != self.rows[i]:
+                    item = (sum(a * b for a, b in zip(own, v)), -int(ids[j]))
+                    if len(heap) < self.k:
+                        heapq.heappush(heap, item)
+                    elif item > heap[0]:
+                        heapq.heapreplace(heap, item)
+
+    def result(self) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.score))
+        found = [(int(self.ids[a]), int(self.rows[a]), int(self.found[a, b]), int(self.score[a, b])) for a, b in zip(i, j)]
+        found += [(int(self.ids[a]), int(self.rows[a]), -n, s) for a, heap in enumerate(self.large) for s, n in heap]
+        shown = [min(max(s, _LONG[0]), _LONG[1]) for *_, s in found]
+        # what a long cannot tell apart is ordered by more bytes; those of a long come last of the largest and first of the smallest
+        beyond = [(s + (1 << (8 * _WIDE - 1))).to_bytes(_WIDE, "big") if s > _LONG[1] or s <= _LONG[0] else None for *_, s in found]
+        columns = [pa.array([r[n] for r in found], pa.int64()) for n in range(3)] + [pa.array(shown, pa.int64()), pa.array(beyond, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _search(k: int, scale: float, passed):
+    """Compares the candidates of a task with all query blocks of a round."""
 
-def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                part = lambda name, kind: np.frombuffer(r[name], kind)  # noqa: E731, B023
-                dim = r["dim"]
-                query, row, found, score = search_block(
-                    part("q_ids", "<i8"), part("q_rows", "<i8"), part("q_vectors", "<i4").reshape(-1, dim), part("ids", "<i8"), part("rows", "<i8"), part("vectors", "<i4").reshape(-1, dim), k
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(row), pa.array(found), pa.array(score)], names=["query_id", "query_row", "vec_id", "score"])
+        blocks: dict[int, list[Queries]] = {}
+        for dim, n, ids, rows, vectors in passed.value:
+            q = np.frombuffer(vectors, "<f8" if len(vectors) == 8 * dim * n else "<i4").astype(np.float64).reshape(n, dim)
+            blocks.setdefault(dim, []).append(Queries(np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8"), q, k))
+        for dim, ids, rows, c in _gathered(batches, CANDIDATE_BLOCK, scale):
+            if dim in blocks:
+                small = float(np.abs(c).max()) < LARGE
+                statistics, length = (_statistics(c), np.sqrt((c * c).sum(axis=1))) if small else (None, None)
+                for block in blocks[dim]:
+                    block.meet(ids, rows, c, statistics, length)
+        for own in blocks.values():
+            yield from (b.result() for b in own)
 
     return run
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: float = 256.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row whose id is divisible by ``every``."""
-    numbered = materialize(quantised(vectors, id_column, vector_column, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")  # stored: a row keeps its number
-    queries = numbered.where(F.col("id") % every == 0).repartition(1 + numbered.where(F.col("id") % every == 0).count() // (4 * QUERY_BLOCK), F.xxhash64("row"))
-    queries = materialize(queries.mapInArrow(_blocks(QUERY_BLOCK), BLOCK).withColumn("block", F.monotonically_increasing_id()), "queries")
-    sizes = queries.agg(F.sum(F.octet_length("vectors") + F.octet_length("ids") + F.octet_length("rows")).alias("b")).first()
-    numbers = queries.select(F.col("dim").alias("of"), "block").groupBy("of").agg(F.collect_list("block").alias("blocks"))  # a few numbers a broadcast
-    q = queries.select("block", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"))
-    cblocks = numbered.mapInArrow(_blocks(CANDIDATE_BLOCK), BLOCK)
-    dealt = cblocks.join(F.broadcast(numbers), F.col("dim") == F.col("of")).withColumn("block", F.explode("blocks")).drop("of", "blocks")
-    met = dealt.join(F.broadcast(q) if (sizes.b or 0) <= BROADCAST_BYTES else q, "block")
-    best = met.select("dim", "ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors").mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
-    ranked = best.withColumn("rank", F.expr("row_number() over (partition by query_id, query_row order by score desc, vec_id)")).where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    stored = materialize(usable(vectors, id_column, vector_column, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")  # stored: a row keeps its number
+    queries = stored.where(F.col("id") % every == 0)
+    queries = queries.repartition(1 + queries.count() // (4 * QUERY_BLOCK), F.xxhash64("row"))
+    queries = materialize(queries.mapInArrow(_blocks(QUERY_BLOCK, scale), BLOCK).withColumn("block", F.monotonically_increasing_id()), "queries")
+    size = F.octet_length("vectors") + F.octet_length("ids") + F.octet_length("rows")
+    rounds: list[list[int]] = []
+    room = 0
+    for r in queries.select("block", size.alias("bytes")).orderBy("block").collect():  # two numbers for hundreds of queries
+        if not rounds or r.bytes > room:
+            rounds.append([])
+            room = ROUND_BYTES
+        rounds[-1].append(r.block)
+        room -= r.bytes
+    found = spark.createDataFrame([], FOUND)
+    for own in rounds:
+        rows = queries.where(F.col("block").between(own[0], own[-1])).collect()
+        passed = spark.sparkContext.broadcast([(r.dim, r.n, bytes(r.ids), bytes(r.rows), bytes(r.vectors)) for r in rows])
+        found = found.unionByName(materialize(stored.mapInArrow(_search(k, scale, passed), FOUND), "found"))
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id, query_row order by score desc, beyond desc nulls last, vec_id)")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
