@@ -511,6 +511,43 @@ def test_every_labelled_page_counts(spark):
     assert {(x.verdict, x.support) for x in url_rules.mine(labelled).collect() if list(x.tokens) == ["t"]} == {("allow", 200)}
 
 
+def test_judge_is_brute_force(spark):
+    """Rules mined from listed URLs and applied to the others, by plain Python over all token sets."""
+    from itertools import combinations
+
+    r = random.Random(17)
+    make = lambda: f"http://{r.choice(['a', 'b', 'cdn'])}.{r.choice(['x.net', 'example.com', 'z.org', 'w.test', 'v.test'])}/{r.choice(['de', 'fr', 'k'])}/{r.choice(['ads', 'doc', 'img'])}{r.choice(['', '?q=1', '?track=7#t'])}"
+    urls = [make() for _ in range(300)] + [None, "nothing", "http://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parameters = url_rules.Parameters(support=0.02, confidence=0.7)
+    u = F.col("url")
+    shown = {x.page_id: (x.h, x.p, tuple(x.t)) for x in pages.select("page_id", url_rules.host(u).alias("h"), url_rules.path(u).alias("p"), url_rules.tokens(u, url_rules.host(u), url_rules.path(u)).alias("t")).collect()}
+
+    def listed(h, p):
+        fits = [(len(text), verdict, text) for verdict, text in url_rules.LIST for rh, _, rp in [text.partition("/")] if (h == rh or h.endswith("." + rh)) and p.startswith("/" + rp)]
+        return max(fits)[1:] if fits else None
+
+    labelled = [(set(t), listed(h, p)[0]) for h, p, t in shown.values() if listed(h, p)]
+    least = math.ceil(parameters.support * len(labelled))
+    common = sorted({x for t, _ in labelled for x in t if sum(x in o for o, _ in labelled) >= least})
+    level, known, sure = [()], {}, {}
+    while level:  # all frequent sets, by growing
+        known |= {c: sum(set(c) <= t for t, _ in labelled) for c in level}
+        level = [c + (x,) for c in level for x in common if (not c or x > c[-1]) and sum({*c, x} <= t for t, _ in labelled) >= least]
+    for c, n in known.items():
+        for v in ("allow", "block"):
+            own = sum(set(c) <= t and w == v for t, w in labelled)
+            if c and own >= least and own / n >= parameters.confidence:
+                sure[c, v] = (own / n, own)
+    kept = {(c, v): x for (c, v), x in sure.items() if not any((y, v) in sure and sure[y, v][0] >= x[0] for y in combinations(c, len(c) - 1))}
+    for x in url_rules.judge(pages, parameters).collect():
+        h, p, t = shown[x.page_id]
+        rule = listed(h, p)
+        fired = [(s[0], s[1], len(c), v == "block", "\t".join([*c, v]), v) for (c, v), s in kept.items() if set(c) <= set(t)]
+        want = (rule[0], rule[1]) if rule else (max(fired)[-1] if fired else "allow", None)
+        assert (x.verdict, x.rule) == want, urls[x.page_id]
+
+
 # ---- surrogates
 
 SECRET = b"a key of these tests"
@@ -622,6 +659,54 @@ def test_short_passages_link_in_their_conversation(spark):
     assert got[2, 0][:2] == got[3, 2][:2] == got[3, 3][:2] == (0, None)
 
 
+def test_a_reader_in_the_first_conversation_is_linked_to_the_second(spark):
+    rows = [(1, 0, "user", "> what somebody has said\nso"), (1, 1, "user", "what somebody has said"), (2, 5, "user", "what somebody has said"), (3, 7, "user", "what somebody has said")]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_to) for r in quotations.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 0] == (2, 5)
+
+
+def test_tables_and_consoles_are_no_quotes():
+    table = "See:\n| a | b |\n|---|---|\n| 1 | 2 |\nend"
+    console = "Try this:\n>>> print(1)\n>>> x = 2\nfine"
+    assert quotations.parse(table) == (table, []) and quotations.parse(console) == (console, [])
+    assert quotations.parse("Bob wrote:\n>>> deep words\nok") == ("ok", [(3, "deep words")])
+    assert quotations.parse("> > b\n>>> c\n| d\nok")[1] == [(2, "b"), (3, "c"), (1, "d")]
+
+
+def test_links_are_brute_force(spark):
+    r = random.Random(23)
+    said = [f"sentence number {i} of what they say" for i in range(9)] + ["yes", "thank you", "no\n\nsentence number 3 of what they say"]
+    rows = []
+    for conv in range(12):
+        for turn in range(r.randrange(2, 7)):
+            quote = "\n".join("> " * (1 + (n > 1)) + line for n, line in enumerate(r.choice(said).split("\n"))) if r.random() < 0.7 else ""
+            rows.append((conv if conv else None, turn, "user", (quote + "\n" if quote else "") + r.choice(said)))
+    rows.append((3, None, "user", said[0]))
+    parsed = [(c, t, *quotations.parse(x)) for c, t, _, x in rows]
+    spoken = [(c, t, quotations.keys(own, 1)) for c, t, own, _ in parsed if t is not None]
+    want = collections.Counter()
+    order = lambda c: (c is not None, c or 0)
+    for c, t, _, passages in parsed:
+        if t is None:
+            continue
+        for i, (level, q) in enumerate(passages):
+            wide, short = quotations.keys(q), quotations.short_keys(q)
+            own = lambda ks: [min(u for d, u, k in spoken if d == c and key in k) for key in ks if any(d == c and key in k for d, u, k in spoken)]  # noqa: E731, B023
+            near = [u for u in own(wide) if u < t]
+            far = [min(((u, order(d), d) for d, u, k in spoken if d != c and key in k), default=None) for key in wide]
+            far = min((x for x in far if x), default=None)
+            brief = [u for u in own(short) if u < t]
+            if near:
+                want[c, t, i, level, c, max(near)] += 1
+            elif far:
+                want[c, t, i, level, far[2], far[0]] += 1
+            elif brief:
+                want[c, t, i, level, c, max(brief)] += 1
+    messages, links = quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    got = links.join(messages.select("row", "conv_id", "turn"), "row").select("conv_id", "turn", "passage", "level", "to_conv", "to_turn")
+    assert collections.Counter(tuple(x) for x in got.collect()) == want
+
+
 def test_a_frequent_line_does_not_multiply(spark):
     rows = [(1, i, "user", "> the very same line again\nthe very same line again") for i in range(200)]
     _, links = quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

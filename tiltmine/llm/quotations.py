@@ -1,7 +1,9 @@
 """Quotation linking in conversations.
 
 Quoted lines (``>``, ``> >``, ``|`` after white space, any depth) are cut from each
-message and parsed into passages: runs of lines of one level.  A passage is
+message and parsed into passages: runs of lines of one level.  Lines of a table
+(``|`` first and once more later) and of a console (``>>> ``, in a run of quoted lines
+without other levels and without an introduction) are text, not quotes.  A passage is
 normalised (marks off, white space squeezed, lower case) and hashed, as a whole and
 line by line; so are the unquoted texts, paragraphs and lines of all messages.  A
 passage is linked to the earliest earlier message that says it: in its own
@@ -11,7 +13,8 @@ no longer part is found; short parts never link conversations.  A message replie
 its outermost quotes are linked to; threads are the trees of replies.
 
 Frequent lines do not multiply: of all messages that say a line, only the first of
-each conversation, and the first of all, are kept for the join.
+each conversation, and the first of all in two conversations, are kept for the join
+(a reader's own conversation is never the other one).
 
 Defined results: null texts stay null and quote nothing.  A quote of nothing known
 is cut and not linked.  An introduction ("... wrote:") directly above a quote goes
@@ -50,13 +53,36 @@ def fingerprint(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
+def _mark(line: str) -> re.Match | None:
+    """The quote marks of a line and what follows them; none of a line of a table."""
+    m = _QUOTE.match(line)
+    return None if m and "|" in m[1] and "|" in m[2] else m
+
+
+def _consoles(lines: list[str]) -> set[int]:
+    """Lines of runs that stand for a console: ``>>> `` without quotes of other levels in the run."""
+    out: set[int] = set()
+    at = 0
+    while at < len(lines):
+        to = at
+        while to < len(lines) and _mark(lines[to]):
+            to += 1
+        introduced = at > 0 and bool(_INTRODUCTION.search(lines[at - 1]))
+        if to > at and not introduced and all(line.startswith(">>> ") or line.rstrip() == ">>>" for line in lines[at:to]):
+            out.update(range(at, to))
+        at = max(to, at + 1)
+    return out
+
+
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The text without quotes, and its passages (level, quoted text), in order."""
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     open_level = 0
-    for line in text.split("\n"):
-        m = _QUOTE.match(line)
+    lines = text.split("\n")
+    consoles = _consoles(lines) if ">>>" in text else ()
+    for at, line in enumerate(lines):
+        m = None if at in consoles else _mark(line)
         if not m:
             own.append(line)
             open_level = open_level if not line.strip() else 0
@@ -125,10 +151,14 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = materialize(asked, "asked")
     # only what is asked for is looked up elsewhere, and nothing short
     wanted = asked.where("wide").select("hash").distinct()
-    there = here.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct(F.col("here").alias("turn"), "conv_id")).alias("there"))
+    elsewhere = materialize(here.join(wanted, "hash", "left_semi").select("hash", F.struct(F.col("here").alias("turn"), "conv_id").alias("said")), "elsewhere")
+    # the first of all, and the first in another conversation than that one, for readers who are in it
+    there = materialize(elsewhere.groupBy("hash").agg(F.min("said").alias("there")), "there")
+    second = elsewhere.join(there, "hash").where(~F.col("said.conv_id").eqNullSafe(F.col("there.conv_id"))).groupBy("hash").agg(F.min("said").alias("second"))
+    there = there.join(second, "hash", "left")
     found = asked.alias("a").join(here.alias("h"), F.col("a.conv_id").eqNullSafe(F.col("h.conv_id")) & (F.col("a.hash") == F.col("h.hash")) & (F.col("h.here") < F.col("a.turn")), "left")
     found = found.select("a.*", F.when(F.col("here").isNotNull(), F.struct(F.col("here").alias("turn"), F.col("a.conv_id").alias("conv_id"))).alias("near"))
-    wide = found.where("wide").join(there, "hash", "left").withColumn("far", F.when(~F.col("there.conv_id").eqNullSafe(F.col("conv_id")), F.col("there")))
+    wide = found.where("wide").join(there, "hash", "left").withColumn("far", F.when(~F.col("there.conv_id").eqNullSafe(F.col("conv_id")), F.col("there")).otherwise(F.col("second")))
     wide = wide.select("row", "passage", "level", "near", "far", F.lit(None).cast("struct<turn:long,conv_id:long>").alias("brief"))
     short = found.where("not wide").select("row", "passage", "level", F.lit(None).cast("struct<turn:long,conv_id:long>").alias("near"), F.lit(None).cast("struct<turn:long,conv_id:long>").alias("far"), F.col("near").alias("brief"))
     best = wide.unionByName(short).groupBy("row", "passage", "level").agg(F.max("near").alias("near"), F.min("far").alias("far"), F.max("brief").alias("brief"))
@@ -157,7 +187,7 @@ def rebuild(messages: DataFrame) -> DataFrame:
         after = now.alias("n").join(tops.alias("t"), F.col("n.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("n.up") == F.col("t.turn")) & (F.col("n.up") != F.col("n.turn")), "left")
         after = after.select("n.row", "n.conv_id", "n.turn", F.coalesce("t.t.up", "n.up").alias("up"), (F.col("n.depth") + F.coalesce("t.t.depth", F.lit(0))).alias("depth"))
         after = materialize(after, "chains")
-        same = now.agg(F.sum("depth")).first()[0] == after.agg(F.sum("depth")).first()[0]
+        same = now.agg(F.sum("depth")).first()[0] == after.agg(F.sum("depth")).first()[0]  # a jump only adds to a depth
         discard(now)
         now = after
         if same:

@@ -6,14 +6,14 @@ with their values, and the fragment (runs of digits of parts, names, values and
 fragments are written alike).  Only support prunes them, and every labelled page counts.
 URLs that a given list rules on are the labelled ones.  FP-growth mines the token
 sets that go with a verdict; rules ``tokens => verdict`` are kept by support and
-confidence, and dropped where a subset of their tokens has a rule of the same
-verdict that is as sure.  The rules are laid out as an inverted index, token ->
+confidence, and dropped where the rule without one of their tokens has the same
+verdict and is as sure.  The rules are laid out as an inverted index, token ->
 rules; a rule fires for a URL that meets all of its tokens.  Of those that fire
 the surest decides, then the one with more support, then the longer, then block,
 then the first by its tokens.  URLs without a rule are allowed.
 
-Matching is done once for each distinct token set, so neither a frequent host nor
-repeated URLs weigh on it.
+Matching is done once for each distinct token set.  What is found is stored, and joined
+back to the pages in a join of its own, in which Spark splits the pages of a frequent set.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
 no tokens: no list rule fits and it is allowed.  An empty table gives no rows.
@@ -121,7 +121,7 @@ def judge(pages: DataFrame, parameters: Parameters = Parameters(), rules=LIST) -
     labelled = seen.where("listed is not null").select("tokens", F.col("listed.verdict").alias("verdict"))
     mined = mine(labelled, parameters)
     asked = seen.where("listed is null and size(tokens) > 0").select("tokens").distinct()
-    said = decide(asked, mined)
+    said = materialize(decide(asked, mined), "said")
     # listed pages need no lookup, so they are not dealt by a key that they all lack
     listed = seen.where("listed is not null").select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.col("listed.verdict").alias("verdict"))
     others = seen.where("listed is null").join(said, "tokens", "left")
