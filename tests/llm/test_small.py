@@ -574,6 +574,54 @@ def test_surrogates_refer_alike():
     assert len(set(phones)) == 1 and re.search(r"Господин [А-Я]", got)
 
 
+def test_persons_are_known_by_either_name():
+    text = "Mr Smith and Anna Jones came. Smith said Anna was late; Jones and SMITH left. Mrs Kate Smith is no smith. Frau Zilli Müller-Smith, Herr Jürgen Straße."
+    got, _ = surrogates.replace(SECRET, text, {})
+    m = re.match(r"Mr (\w+) and (\w+) (\w+) came\. (\w+) said (\w+) was late; (\w+) and (\w+) left\. Mrs (\w+) (\w+) is no smith\. Frau (\w+) (\w+)-(\w+), Herr (\w+) (\w+)\.", got)
+    assert m[1] == m[4] == m[9] == m[12] and m[7] == m[1].upper() and m[2] == m[5] and m[3] == m[6] and "Smith" not in got and "Anna" not in got
+    assert m[2] in surrogates._GIVEN["latin", "f"] and m[8] in surrogates._GIVEN["latin", "f"] and m[10].endswith("a") and m[13].lower() in {surrogates._plain(n) for n in surrogates._GIVEN["latin", "m"]}
+    greek, _ = surrogates.replace(SECRET, "Κύριος Παπαδόπουλος", {})
+    assert greek != "Κύριος Παπαδόπουλος" and greek.endswith("ς") or greek[-1] in "βγδζθκλμνξπρτφχψ"
+
+
+def test_letters_of_any_script_change():
+    for text in ("Mr Արամ", "Herr Müller", "Mr Łukasz", "Господин Ёжиков", "Mr Øyen", "Mr 김철수", "Señora Núñez", "Господин Объедков"):
+        own = text.split(" ")[1]
+        got = surrogates.replace(SECRET, text, {})[0].split(" ")[1]
+        assert got != own
+        a, b = (__import__("unicodedata").normalize("NFD", x) for x in (own, got))
+        assert len(a) == len(b) and sum(x.lower() == y.lower() for x, y in zip(a, b) if x.isalpha()) < sum(x.isalpha() for x in a)
+    words = ["Müller", "Muller", "Möller", "Miller", "Mäller"]
+    assert len({surrogates.surrogate(SECRET, "surname", surrogates.canonical("surname", w)) for w in words}) == len(words)
+
+
+def test_new_addresses_keep_their_form():
+    text = "from 2001:db8::1 and 2001:0DB8:0:0:0:0:0:0001, FE80::1FF:FE23:4567:890A; at 12:34:56 or a::b::c, std::vector"
+    got, n = surrogates.replace(SECRET, text, {})
+    m = re.match(r"from (\S+) and (\S+), (\S+); at 12:34:56 or a::b::c, std::vector", got)
+    import ipaddress
+
+    a, b, c = map(ipaddress.ip_address, m.groups())
+    assert n == 3 and a == b and str(a).startswith("2001:") and a != ipaddress.ip_address("2001:db8::1") and c.is_link_local and m[3] == m[3].upper() and "::" in m[1]
+
+
+def test_the_key_is_the_sessions(spark):
+    a, b = surrogates.session_key(spark), surrogates.session_key(spark)
+    assert a == b and len(a) == 32
+    with pytest.raises(ValueError):
+        surrogates.anonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), b"")
+
+
+def test_crowded_and_strange_values(spark):
+    texts = ["password: ______", "password: 请输入您的密码", "Mr Արամ"] + [f"Mr {chr(c)} came" for c in range(65, 91)] + [f"10.0.0.{i}" for i in range(256)] + [f"{a}@b.cd" for a in "abcdefghijklmnopqrstuvwxyz"] + ["Mr " + "x" * 3000, ("Anna Jones " * 60_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = surrogates.collision_free(docs, SECRET).collect()
+    real = {(r.kind, r.value) for r in table}
+    assert len({(r.kind, r.surrogate) for r in table}) == len(table) and not real & {(r.kind, r.surrogate) for r in table}
+    got = [r.text for r in sorted(surrogates.anonymise(docs, SECRET).collect(), key=lambda r: r.doc_id)]
+    assert len(set(got)) == len(texts) and sum(a == b for a, b in zip(texts, got)) == 2  # a blank and a word that is no name
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
 def test_permutations(size):
     assert sorted(surrogates.permute(SECRET, "t", x, size) for x in range(size)) == list(range(size))
@@ -617,12 +665,14 @@ def test_exhausted_formats_get_wider_ones(spark):
     assert re.fullmatch(r"password: [а-я]{6}", got[blank + 2])
 
 
-@pytest.mark.parametrize(("kind", "text"), [("ip", "7.0.0.1"), ("card", "4111 1111 1111 1111"), ("card", "4111 1111 1111 1112"), ("ssn", "123-45-6789"), ("phone", "(988) 555-2485"), ("phone", "+1 988 555 2485"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "A@x.com"), ("key", "sk-________________"), ("secret", "deadbeef"), ("name", "Al")])
+@pytest.mark.parametrize(("kind", "text"), [("ip", "7.0.0.1"), ("card", "4111 1111 1111 1111"), ("card", "4111 1111 1111 1112"), ("ssn", "123-45-6789"), ("phone", "(988) 555-2485"), ("phone", "+1 988 555 2485"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "A@x.com"), ("key", "sk-________________"), ("secret", "deadbeef"), ("surname", "Al"), ("ip6", "2001:db8::1")])
 def test_every_kind_has_wider_formats(kind, text):
     value, last = surrogates.canonical(kind, text), surrogates.MOST_ROUNDS
     made = [surrogates.surrogate(SECRET, kind, value, a) for a in range(last)]
     assert len(set(made[surrogates.NARROW :])) == last - surrogates.NARROW and all(len(a) > len(value) for a in made[surrogates.NARROW :])
     for m in made[surrogates.NARROW :]:
+        if kind == "ip6":
+            continue  # groups have a fixed width: zeros are filled
         shown = surrogates.render(kind, text, m)
         assert surrogates.canonical(kind, shown) == m and (kind != "card" or surrogates.luhn(m) == surrogates.luhn(value))
 

@@ -6,21 +6,31 @@ number stays valid if it was, an address stays public if it was, a given name st
 one of its gender and script.  A surrogate is a keyed permutation of all values of
 the same format, so two entities never get one surrogate, and one entity gets the
 same surrogate everywhere, however it is written.  Parts that stand for themselves
-(a surname, a mail domain) are permuted apart, so they are the same in every entity
-that has them.
+are entities of their own: a person's given name and surname, a mail's domain, so
+they are the same wherever they stand.  A person whom a text names in full is known
+by either part in the rest of that text.
+
+Names are found after a title, or as a listed given name and another capitalised
+word.  Listed given names are permuted among those of their gender and script;
+others, of which a title tells the gender, get permuted letters and an ending of it.
 
 A surrogate can still be another real entity of the corpus, or, where formats were
 mended, another's surrogate.  Both are looked for over all documents; entities in
-such a collision are permuted once more, until none is left.  A format can be
+such a collision are permuted once more, until none is left (given names are left
+out: they are permuted among themselves, and tell nobody apart without a surname).  A format can be
 exhausted (more than half of its values are real) or have nothing to permute; after
 NARROW attempts surrogates are therefore drawn from wider formats, longer by one more
 character each attempt, so there is always a free one.
 
+The key is the caller's.  ``session_key`` takes it from the session's configuration, or
+draws one that lasts as long as the session; who has the key can undo the permutations.
+
 Defined results: null texts stay null, texts without entities stay as they are.
 Overlapping finds keep the one that starts first, then the longer.  A secret that
 is one sign repeated ("________") is a blank and no entity; one with letters of which
-no alphabet is known gets Latin letters for them.  Repeated rows
-get the same text.  All columns are kept; ``n_chars`` follows the new text where it
+no alphabet is known gets Latin letters for them.  Letters of a name without a pool of
+their own are permuted among those of their kind in their part of Unicode; accents stay.
+Repeated rows get the same text.  All columns are kept; ``n_chars`` follows the new text where it
 is there.  Text inside a surrogate is not searched again.
 """
 
@@ -28,19 +38,23 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiltmine.llm import textkit
 from tiltmine.llm.shared import discard, materialize
 
-KEY = b"replace this key in production"
+#: The setting that holds the key, in hexadecimal.
+KEY_SETTING = "spark.tiltmine.surrogates.key"
 #: Exceptions (entities in a collision) up to which they are broadcast; beyond, they are joined to their documents.
 EXCEPTIONS_MOST = 50_000
 #: Rounds of collision checks after which the key is at fault.
@@ -48,17 +62,25 @@ MOST_ROUNDS = 20
 #: Attempts within an entity's own format; those after it are longer by one character more each time.
 NARROW = 4
 
+# Titles and the gender that they tell, and common given names by script and gender.
 _TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Господин": "m", "Κύριος": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Госпожа": "f", "Κυρία": "f"}
 _GIVEN = {
-    ("latin", "m"): ["Adam", "Bruno", "Carlos", "Daniel", "Edward", "Felix", "George", "Henry", "Ivan", "James", "John", "Karl", "Louis", "Martin", "Nicolas", "Oscar", "Paul", "Robert", "Thomas", "Victor"],
-    ("latin", "f"): ["Alice", "Anna", "Barbara", "Clara", "Diana", "Elena", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Rosa", "Sarah", "Teresa"],
-    ("cyrillic", "m"): ["Алексей", "Борис", "Виктор", "Григорий", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей"],
-    ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга"],
-    ("greek", "m"): ["Αλέξανδρος", "Γεώργιος", "Δημήτριος", "Κωνσταντίνος", "Νικόλαος", "Παύλος"],
-    ("greek", "f"): ["Άννα", "Ελένη", "Ευαγγελία", "Κατερίνα", "Μαρία", "Σοφία"],
+    ("latin", "m"): ["Adam", "Alexander", "Andrew", "Antonio", "Bruno", "Carlos", "Charles", "Daniel", "David", "Edward", "Felix", "Francis", "George", "Hans", "Henry", "Ivan", "James", "John", "Jürgen", "Karl", "Louis", "Martin", "Michael", "Miguel", "Nicolas", "Oscar", "Paul", "Peter", "Pierre", "Robert", "Stefan", "Thomas", "Victor", "William"],
+    ("latin", "f"): ["Alice", "Amanda", "Anna", "Barbara", "Carmen", "Catherine", "Clara", "Diana", "Elena", "Elizabeth", "Emma", "Flora", "Greta", "Helen", "Ingrid", "Irene", "Jane", "Julia", "Kate", "Laura", "Linda", "Lucy", "Maria", "Mary", "Monica", "Nora", "Olivia", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Teresa", "Yvonne"],
+    ("cyrillic", "m"): ["Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Григорий", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Пётр", "Сергей"],
+    ("cyrillic", "f"): ["Александра", "Анна", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"],
+    ("greek", "m"): ["Αλέξανδρος", "Γεώργιος", "Γιάννης", "Δημήτριος", "Κωνσταντίνος", "Νικόλαος", "Παύλος", "Πέτρος"],
+    ("greek", "f"): ["Άννα", "Αικατερίνη", "Ελένη", "Ευαγγελία", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"],
 }
-_GENDER = {name.lower(): key for key, names in _GIVEN.items() for name in names}
-_POOLS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+#: Endings of given names that are on no list, by script and gender.
+_ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("greek", "m"): "ν", ("greek", "f"): "α"}
+def _plain(name: str) -> str:
+    return unicodedata.normalize("NFC", name.lower()).replace("ς", "σ")
+
+
+_GENDER = {_plain(name): key for key, names in _GIVEN.items() for name in names}
+_POOLS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "æœø", "łđßþð", "ъь"]
+_POOLS += ["".join(map(chr, r)) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3))]  # parts of Korean syllables
 _POOL = {c: pool for pool in _POOLS for c in pool}
 _HEX = "0123456789abcdef"
 _ALPHABET = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": _POOLS[3] + _POOLS[4], "greek": _POOLS[5] + _POOLS[6]}
@@ -66,13 +88,14 @@ _ALPHABET = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": _POOLS[3] + _POO
 _PATTERNS = [
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), "@"),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"), "d"),
+    ("ip6", re.compile(r"(?<![\w:.])[23fF][0-9A-Fa-f]{2,3}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])"), ":"),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), "d"),
     ("card", re.compile(r"(?<![\d+])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<![\d+])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)"), "d"),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "d"),
     ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)"), "d"),
     ("key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|sk|pk|xox[bp])[-_][A-Za-z0-9_-]{16,}"), "d"),
     ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?([^\s\"'&$#%*,;]{6,})"), "="),
-    ("name", re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|Κύριος|Κυρία)\.? ((?:[^\W\d_]+ )?[^\W\d_]+)"), ""),
+    ("name", re.compile(r"(?<!\w)(?:" + "|".join(sorted(_TITLES, key=len, reverse=True)) + r")\.? ((?:[^\W\d_]+ )?[^\W\d_]+)"), ""),
 ]
 _DIGIT = re.compile(r"\d")
 _FULL_NAME = re.compile(r"(?<!\w)(?:" + "|".join(n for names in _GIVEN.values() for n in names) + r") [^\W\d_]+")
@@ -86,10 +109,30 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ip6_ok(s: str) -> bool:
+    try:
+        return ipaddress.ip_address(s).version == 6
+    except ValueError:
+        return False
+
+
+def _titled(text: str, m: re.Match) -> list[tuple[int, int, str]]:
+    """The parts of a name after a title: given name and surname, or a surname alone."""
+    start, own = m.start(1), m[1].split(" ")
+    if own[0][0].islower():
+        return []
+    gender = _TITLES[re.match(r"[^\W\d_]+", m[0])[0]]
+    if len(own) == 1 or not own[1][0].isupper():  # letters without case do not begin a second word
+        return [(start, start + len(own[0]), "surname")]
+    at = start + len(own[0]) + 1
+    kind = "given" if _GENDER.get(_plain(own[0])) else f"given-{gender}"
+    return [(start, at - 1, kind), (at, at + len(own[1]), "surname")]
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps."""
-    hints = {"": True, "@": "@" in text, "d": bool(_DIGIT.search(text)), "=": "=" in text or ":" in text}
-    found = []
+    hints = {"": True, "@": "@" in text, "d": bool(_DIGIT.search(text)), "=": "=" in text or ":" in text, ":": text.count(":") > 1}
+    found, persons = [], {}
     for kind, pattern, hint in _PATTERNS:
         if not hints[hint]:
             continue
@@ -102,17 +145,24 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
             if kind == "card" and not 13 <= sum(c.isdigit() for c in own) <= 19:
                 continue
-            if kind == "name":
-                words = [w for w in own.split(" ") if w[0].isupper()] if own.split(" ")[0][0].isupper() else []
-                if not words:
+            if kind == "ip6":
+                end -= own.endswith(":") and not own.endswith("::")
+                if not _ip6_ok(text[start:end]):
                     continue
-                end = start + len(" ".join(words[: 1 if len(words) < len(own.split(" ")) else 2]))
-            found.append((start, end, kind))
+            found += _titled(text, m) if kind == "name" else [(start, end, kind)]
     for m in _FULL_NAME.finditer(text):
         given, family = m.group().split(" ")
         if family[0].isupper() and family != given:
-            found.append((*m.span(), "name"))
-    found.sort(key=lambda x: (x[0], -x[1]))
+            at = m.start() + len(given) + 1
+            found += [(m.start(), at - 1, "given"), (at, m.end(), "surname")]
+    for start, end, kind in found:
+        if kind == "surname" or kind.startswith("given"):
+            persons.setdefault(text[start:end], kind)
+            persons.setdefault(text[start:end].upper(), kind)
+    if persons:  # who is known is known by either name
+        alone = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted((p for p in persons if len(p) > 1), key=len, reverse=True))) + r")(?!\w)") if any(len(p) > 1 for p in persons) else None
+        found += [(*m.span(), persons[m[0]]) for m in alone.finditer(text)] if alone else []
+    found.sort(key=lambda x: (x[0], -x[1]))  # of equal spans the first found stays
     out: list[tuple[int, int, str]] = []
     for f in found:
         if not out or f[0] >= out[-1][1]:
@@ -152,8 +202,22 @@ def _shuffled(key: bytes, tweak: str, value: str, pools: list[str]) -> str:
     return "".join(reversed(out))
 
 
+@lru_cache(maxsize=10_000)
+def _pool_of(c: str) -> str:
+    """The characters that a letter is permuted among; "" for what is no letter or digit."""
+    if c in _POOL:
+        return _POOL[c]
+    kind = unicodedata.category(c)
+    if not kind.startswith("L"):
+        return ""
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and unicodedata.normalize("NFD", x) == x and x not in _POOL and x.lower() == x)
+
+
 def _word(key: bytes, tweak: str, value: str) -> str:
-    return _shuffled(key, tweak, value, [_POOL.get(c, "") for c in value])
+    """Letters by their pools; accents stay on the letters that come in their place."""
+    apart = unicodedata.normalize("NFD", value)
+    return unicodedata.normalize("NFC", _shuffled(key, tweak, apart, [p if c in (p := _pool_of(c)) else "" for c in apart]))
 
 
 def _drawn(key: bytes, tweak: str, value: str, pools: list[str]) -> str:
@@ -178,6 +242,7 @@ def _wider(key: bytes, tweak: str, value: str, more: int, kept: int = 0) -> str:
 
 
 def _script(word: str) -> str:
+    """The alphabet that letters are added from."""
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
@@ -188,6 +253,10 @@ def canonical(kind: str, text: str) -> str:
         return digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
     if kind == "iban":
         return text.replace(" ", "").lower()
+    if kind == "ip6":
+        return ":".join(f"{int(g, 16):x}" for g in ipaddress.ip_address(text).exploded.split(":"))
+    if kind == "surname" or kind.startswith("given"):
+        return unicodedata.normalize("NFC", text.lower()).replace("ς", "σ")
     return text if kind in ("key", "secret", "ip") else text.lower()
 
 
@@ -230,19 +299,23 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         body = _shuffled(key, tweak, value[4:], n) + extra(_POOLS[0])
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
-    if kind == "name":
-        words = value.split(" ")
-        out = []
-        for i, w in enumerate(words):
-            place = _GENDER.get(w) if len(words) > 1 and i == 0 else None
-            if place:
-                names = [n.lower() for n in _GIVEN[place]]
-                out.append(names[permute(key, tweak + "given" + "".join(place), names.index(w), len(names))])
-            elif more and i == len(words) - 1:
-                out.append(_wider(key, tweak + "surname", w, more))
-            else:
-                out.append(_word(key, tweak + "surname" + _script(w), w))
-        return " ".join(out)
+    if kind == "ip6":
+        # the first group tells what the address is for; zero groups stay until a format is exhausted
+        groups = value.split(":")
+        groups = groups[:1] + ["1000" if more and g == "0" else g for g in groups[1:]]
+        pools = [("" if i == 0 or g == "0" else _HEX[1:] if j == 0 else _HEX) for i, g in enumerate(groups) for j in range(len(g))]
+        flat = _shuffled(key, tweak + ":".join(map(str, map(len, groups))), "".join(groups), pools) if not more else _drawn(key, tweak, "".join(groups), pools)
+        at = [sum(map(len, groups[:i])) for i in range(9)]
+        return ":".join(flat[a:b] for a, b in zip(at, at[1:]))
+    if kind == "given":
+        place = _GENDER[_plain(value)]
+        names = sorted({_plain(n) for n in _GIVEN[place]})
+        return names[permute(key, f"given{place}", names.index(_plain(value)), len(names))]
+    if kind.startswith("given-"):
+        script = _script(value)
+        return _word(key, f"{kind}\0{script}", value) + _ENDINGS[script, kind[-1]]
+    if kind == "surname":
+        return _wider(key, tweak, value, more) if more else _word(key, f"{tweak}\0{_script(value)}", value)
     if kind == "secret" and all(c in _HEX for c in value):
         return _shuffled(key, tweak, value, [_HEX] * len(value)) + extra(_HEX)
     fixed = 4 if kind == "key" and value[:4] in ("AKIA", "ASIA") else 3 if kind == "key" else 0
@@ -258,8 +331,14 @@ def render(kind: str, text: str, value: str) -> str:
         if kind != "email":
             return value
         return "".join(n.upper() if o.isupper() else n for o, n in zip(text, value)) if len(text) == len(value) else value
-    if kind == "name":
-        return " ".join(n.upper() if len(o) > 1 and o.isupper() else n[:1].upper() + n[1:] for o, n in zip(text.split(" "), value.split(" ")))
+    if kind == "surname" or kind.startswith("given"):
+        if len(text) > 1 and text.isupper():
+            return value.upper()
+        value = value[:-1] + "ς" if value.endswith("σ") else value
+        return value[:1].upper() + value[1:] if text[:1].isupper() else value
+    if kind == "ip6":
+        short = str(ipaddress.ip_address(value)) if "::" in text else value
+        return short.upper() if text.upper() == text and text.lower() != text else short
     places = [i for i, c in enumerate(text) if c.isalnum()]
     out, own = list(text), value[: len(places)]
     for i, c in zip(places[len(places) - len(own) :], own):
@@ -293,7 +372,7 @@ def _entities(key: bytes):
     @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches):
-            found = {(kind, canonical(kind, t[a:b])) for t in batch.column("text").to_pylist() if t for a, b, kind in find(t)}
+            found = {(kind, canonical(kind, t[a:b])) for t in batch.column("text").to_pylist() if t for a, b, kind in find(t) if not kind.startswith("given")}
             rows = [(k, v, 0, _cached(key, k, v, 0)) for k, v in sorted(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], names=["kind", "value", "attempt", "surrogate"])
 
@@ -327,8 +406,22 @@ def collision_free(docs: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def anonymise(docs: DataFrame, key: bytes = KEY, count_column: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``; with ``count_column``, also how many entities were replaced."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; without one, a random key that is kept there for this session."""
+    if not (found := spark.conf.get(KEY_SETTING, None)):
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return bytes.fromhex(found)
+
+
+def anonymise(docs: DataFrame, key: bytes | None = None, count_column: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``; with ``count_column``, also how many entities were replaced.
+
+    Without a key, that of the session is used.
+    """
+    key = session_key(docs.sparkSession) if key is None else key
+    if not key:
+        raise ValueError("surrogates need a key")
     names = docs.columns
     held = docs.toDF(*[f"c{i}" for i in range(len(names))])  # our own columns cannot clash with the caller's
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
