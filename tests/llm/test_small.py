@@ -99,6 +99,38 @@ def test_join_of_a_crowd_is_brute_force(spark, n, num, den):
     assert got == brute_components(rows, n, num, den)
 
 
+def test_frequent_grams_are_dealt_in_parts(spark, monkeypatch):
+    for module in (ngram_join, minhash):
+        monkeypatch.setattr(module, "SALT_LEAST", 3)
+        monkeypatch.setattr(module, "SALT_SHARE", 0.0)
+    monkeypatch.setattr(minhash, "SEEN_OF", 2)
+    rows = edited_copies(90, 18) + [(100 + i, t) for i, t in edited_copies(60, 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(docs).collect())
+    assert got == brute_components(rows, 3, 90, 100)
+    got = collections.Counter((r.doc_id, r.cluster_id) for r in minhash.clustered(docs).collect())
+    assert got == collections.Counter({(d, c): n for (d, _, c), n in brute_components(rows, 5, 80, 100).items()})
+
+
+def test_few_grams_are_ranked(spark, monkeypatch):
+    rows = edited_copies(90, 18)
+    for most in (0, 5, 60):
+        monkeypatch.setattr(ngram_join, "COMMON_MOST", most)
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == brute_components(rows, 3, 90, 100)
+
+
+def test_minima_are_brute_force():
+    texts = [prose(40, 51), "", "one two", prose(9, 52)]
+    h, offs = minhash._shingles(__import__("pyarrow").array(texts))
+    for i, row in enumerate(minhash.minima(h, offs)):
+        own = [int(x) for x in h[offs[i] : offs[i + 1]]]
+        for p in range(minhash.PERMUTATIONS):
+            least = min(((x * int(minhash.ROWS_A[p]) + int(minhash.ROWS_B[p])) % 2**64 >> 32 for x in own), default=None)
+            assert row[p] == (0xFFFF if least is None else (least ^ least >> 16) & 0xFFFF)
+    assert list(minhash.likeness(np.array([[1, 2, 3, 4]]), np.array([[1, 2, 0, 4]]))) == [0.75]
+
+
 def test_crowds_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     rows = edited_copies(90, 8)
@@ -183,7 +215,7 @@ def test_fingerprint_likeness_is_jaccard(spark):
 
 
 def test_fingerprints_in_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(minhash, "PART_BYTES", 2000)
     rows = [(i * 7 % 101, prose(60, i)) for i in range(101)]
     got = {r.doc_id: r.edited_sha256 for r in minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     rows.sort()
@@ -191,7 +223,7 @@ def test_fingerprints_in_many_groups(spark, monkeypatch):
 
 
 def test_fingerprints_of_null_ids_in_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "GROUP_BYTES", 200)
+    monkeypatch.setattr(minhash, "PART_BYTES", 200)
     rows = [(i, prose(60, i)) for i in range(200)] + [(None, prose(60, 900 + i)) for i in range(3)]
     got = collections.Counter((r.doc_id, r.edited_sha256) for r in minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

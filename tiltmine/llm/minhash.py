@@ -17,22 +17,27 @@ table of one row a document is its own next one.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tiltmine.llm import textkit
-from tiltmine.llm.ngram_join import BITS, Spec, class_ids, order_of, sketches, with_components
-from tiltmine.llm.shared import materialize, only, release
+from tiltmine.llm.ngram_join import BITS, SALT_LEAST, SALT_MOST, SALT_SHARE, Spec, class_ids, order_of, sketches, with_components
+from tiltmine.llm.shared import materialize, only
 
 PERMUTATIONS = 64
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 16, 4
-#: Text that one group of neighbouring ids holds, about.
-GROUP_BYTES = 24 << 20
+#: Text of a part of neighbouring ids, about.
+PART_BYTES = 32 << 20
+#: One in so many classes is looked at for frequent bands.
+SEEN_OF = 16
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 ROWS_A = _RNG.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,46 +80,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _fingerprint_group(table: pa.Table) -> pa.Table:
-    """Documents of neighbouring ids, with the row after them (own = false)."""
-    table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    # nulls sort last in Arrow: ranks put rows of null ids first
-    mine = np.flatnonzero(table.column("own").to_numpy())
-    texts = table.column("text").combine_chunks().cast(pa.large_string())
-    step, out = 128, []
-    for at in range(0, len(mine), step):
-        rows = mine[at : at + step]
-        # rows of a group are contiguous and the guest comes last; a lone document follows itself
-        nexts = np.minimum(rows + 1, table.num_rows - 1)
-        both = texts.take(pa.array(np.append(rows, nexts[-1])))
-        whole = both.to_pylist()
-        after = [*whole[1 : len(rows)], whole[-1]]
-        changed = [edited(t, n) for t, n in zip(whole, after)]
-        h, soffs = _shingles(both)
-        sig, sig_edited = minima(h, soffs), signatures(pa.array(changed, pa.large_string()))
-        grams, row, offs = textkit.distinct(h >> np.uint64(64 - BITS), soffs, BITS)
-        size = np.diff(offs)
-        sketch = sketches(grams, row, size)[: len(rows)]
-        cid = class_ids(grams, offs, size)[: len(rows)]
-        own, following = sig[: len(rows)], sig[1:]
-        out.append(pa.RecordBatch.from_arrays(
-            [
-                table.column("doc_id").combine_chunks().take(pa.array(rows)),
-                pa.array([len(t) for t in whole[: len(rows)]], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                pa.array(as_text(own)),
-                pa.array(as_text(sig_edited)),
-                pa.array(likeness(own, sig_edited)),
-                pa.array(likeness(own, following)),
-                pa.array(size[: len(rows)], pa.int64()),
-                pa.array(cid, mask=size[: len(rows)] == 0),
-                pa.array(sketch, pa.binary()),
-            ],
-            names=FINGERPRINTS.names,
-        ))
-    return pa.Table.from_batches(out) if out else pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in FINGERPRINTS})
-
-
 FINGERPRINTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
     T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
@@ -123,38 +88,92 @@ FINGERPRINTS = T.StructType([
 ])
 
 
+#: What tasks give: fingerprints (kind 0), and the first (1) and last (2) document of each part, for the parts beside it.
+EDGED = T.StructType([*FINGERPRINTS.fields, T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("text", T.StringType())])
+
+
+def _prints(ids: list[int | None], texts: list[str]) -> list[pa.Array]:
+    """The columns of FINGERPRINTS for documents; ``texts`` has one more, that follows the last of them."""
+    n = len(ids)
+    both = pa.array(texts, pa.large_string())
+    changed = [edited(t, after) for t, after in zip(texts, texts[1:])]
+    h, soffs = _shingles(both)
+    sig, sig_edited = minima(h, soffs), signatures(pa.array(changed, pa.large_string()))
+    grams, row, offs = textkit.distinct(h >> np.uint64(64 - BITS), soffs, BITS)
+    size = np.diff(offs)
+    sketch, cid = sketches(grams, row, size)[:n], class_ids(grams, offs, size)[:n]
+    own, following, size = sig[:n], sig[1:], size[:n]
+    return [
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+        pa.array(as_text(own)), pa.array(as_text(sig_edited)), pa.array(likeness(own, sig_edited)), pa.array(likeness(own, following)),
+        pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(sketch, pa.binary()),
+    ]
+
+
+def _edge(kind: int, part: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+    columns = [pa.array([doc_id], pa.int64())] + [pa.nulls(1, to_arrow_type(f.dataType)) for f in FINGERPRINTS.fields[1:]]
+    return pa.RecordBatch.from_arrays(columns + [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string())], names=EDGED.names)
+
+
+@textkit.trimmed
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of the documents of a part, in order, each with the one after it; a piece of text is held at a time."""
+    part, held = TaskContext.get().partitionId(), None
+    for batch in textkit.chunks(batches):
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        if held is None:
+            yield _edge(1, part, ids[0], texts[0])
+        else:
+            ids, texts = [held[0], *ids], [held[1], *texts]
+        held = ids.pop(), texts[-1]
+        if ids:
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(_prints(ids, texts) + [pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())], names=EDGED.names)
+    if held is not None:
+        yield _edge(2, part, *held)
+
+
+@textkit.trimmed
+def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of documents whose following one is beside them."""
+    for batch in batches:
+        for doc_id, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after"))):
+            yield pa.RecordBatch.from_arrays(_prints([doc_id], [text, after]), names=FINGERPRINTS.names)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of each document and of its edited text (see ``edited``), with the number n, class and sketch of its shingles.
 
-    Ids are cut into ranges of about GROUP_BYTES of text; each range is shuffled
-    once to a group that also gets the first row of the range after it (one row
-    a range, found from ids alone), so no window over all rows is needed.
+    Documents are dealt once, by ranges of ids of about PART_BYTES of text, and read in order; a
+    part is never held in memory.  The last document of a part meets the first one of the next part afterwards.
     """
-    docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    groups = max(1, int((total.b or 0) // GROUP_BYTES) + 1)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / groups for i in range(1, groups)], 1 / (20 * groups)))) if groups > 1 else []
-    cut = sum((F.col("doc_id") >= F.lit(int(c))).cast("int") for c in cuts) if len(cuts) <= 64 else _bucket("doc_id", cuts)
-    group = F.when(F.col("doc_id").isNull(), 0).otherwise(cut) if cuts else F.lit(0)
-    docs = docs.withColumn("grp", group).withColumn("rank", F.when(F.col("doc_id").isNull(), 0).otherwise(1))
-    # one row a group, for the group before it
-    heads = docs.groupBy("grp").agg(F.min("rank").alias("rank"), F.min("doc_id").alias("doc_id")).collect()
-    order = sorted(r.grp for r in heads)
-    first = {r.grp: r for r in heads}
-    if not order:
-        return docs.sparkSession.createDataFrame([], FINGERPRINTS)
+    docs = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES) + 1)
+    null_first = F.col("doc_id").isNotNull()
+    # rows of one id are dealt by the beginning of their texts, and ordered by their texts
+    dealt = docs.repartitionByRange(parts, null_first, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions(null_first, "doc_id", "text")
+    made = materialize(dealt.mapInArrow(_in_order, EDGED), "edged")
+    some = sorted(r.part for r in made.where("kind = 1").select("part").collect())  # a number a part
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(
-        [(g, None if first[g].rank == 0 else first[g].doc_id, order[i - 1], i == 0) for i, g in enumerate(order)], "grp int, doc_id long, goes int, wraps boolean"
-    )
-    guests = (
-        docs.join(F.broadcast(wanted.select(F.col("doc_id").alias("first_id"), "goes", "wraps")), F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("goes")
-        .agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
-        .select("doc_id", "text", F.col("goes").cast("int").alias("grp"), F.lit(2).alias("rank"), F.lit(False).alias("own"))
-    )
-    rows = docs.select("doc_id", "text", F.col("grp").cast("int").alias("grp"), "rank", F.lit(True).alias("own")).unionByName(guests)
-    return rows.groupBy("grp").applyInArrow(_fingerprint_group, FINGERPRINTS)
+    follows = spark.createDataFrame([(p, n) for p, n in zip(some, some[1:] + some[:1])], "part int, next int")
+    firsts = made.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    lasts = made.where("kind = 2").select("part", "doc_id", "text").join(F.broadcast(follows), "part").join(firsts, "next")
+    edges = materialize(lasts.select("doc_id", "text", "after").mapInArrow(_at_edges, FINGERPRINTS), "edges")
+    return made.where("kind = 0").select(*FINGERPRINTS.names).unionByName(edges)
+
+
+def _dealt(rows: DataFrame, classes: int) -> DataFrame:
+    """``rows`` with the part that those of a frequent band are dealt to (from 1; 0 for all others).
+
+    Frequent bands are found among a part of the classes, chosen by their hash; it decides only where rows are compared.
+    """
+    most = min(max(SALT_LEAST, int(classes * SALT_SHARE)), SALT_MOST)
+    least = max(most // SEEN_OF, 4)
+    seen = rows.where(F.expr(f"pmod(cid, {SEEN_OF}) = 0")).groupBy("gram").count().where(F.col("count") >= least)
+    hot = seen.select("gram", F.ceil(F.col("count") * SEEN_OF / most).cast("int").alias("parts"))
+    # at most BANDS * classes / (SEEN_OF * least) of them: some thousands, or the like of that share
+    joined = rows.join(F.broadcast(hot) if BANDS * classes // (SEEN_OF * least) <= 1 << 20 else hot, "gram", "left")
+    return joined.select("gram", "cid", "n", "p", F.expr("case when parts > 1 then cast(1 + pmod(xxhash64(cid), parts) as int) else 0 end").alias("salt"))
 
 
 def clustered(docs: DataFrame, near: Spec = Spec(SHINGLE_WORDS, 80, 100)) -> DataFrame:
@@ -164,27 +183,14 @@ def clustered(docs: DataFrame, near: Spec = Spec(SHINGLE_WORDS, 80, 100)) -> Dat
     are candidates; the n-gram join's verification decides, and its treatment of crowds holds here too.
     """
     spark = docs.sparkSession
-    prints = materialize(fingerprints(docs), "fingerprints")
-    release(spark)  # the texts that were dealt by id
+    prints = fingerprints(docs)
     classes = prints.where("cid is not null").groupBy("cid").agg(F.min("n").alias("n"), F.min("fingerprint").alias("f"))
     width = 4 * BAND_ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("f"), b * width + 1, F.lit(width))))
-    rows = classes.select(F.explode(bands).alias("gram"), "cid", "n", F.lit(0).cast("long").alias("p"))
+    classes = materialize(classes, "classes")
+    rows = _dealt(classes.select(F.explode(bands).alias("gram"), "cid", "n", F.lit(0).cast("long").alias("p")), classes.count())
     census = prints.select("doc_id", "n", "cid", "sketch")
     found = with_components(only(docs, "doc_id", "text"), census, rows, near, order_of(spark, np.zeros(0, np.uint64)), positional=False)
     clusters = materialize(found.where("cid is not null").groupBy("cid").agg(F.min("component_id").alias("cluster_id")), "clusters")
-    release(spark)  # the bands and the shingles that were compared
     out = prints.join(clusters, "cid", "left").withColumn("cluster_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")))
     return out.select(*[f.name for f in FINGERPRINTS][:7], "cluster_id")
-
-
-def _bucket(column: str, cuts: list[float]):
-    """How many of the rising cuts are at most the column, by a balanced CASE tree."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) < F.lit(int(cuts[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))

@@ -52,11 +52,13 @@ CROWD = 16
 #: A sketch has the numbers of a set's n-grams by so many leading hash values.
 SKETCH = 256
 #: Bytes of an n-gram's hash that overlaps are counted by, within a fragment of two documents.
-GRAM_BYTES = 5
+GRAM_BYTES = 6
 #: Classes of a crowd that are compared with each other at a time.
 BLOCK = 1024
-#: Bits of the filter that holds back documents which are in no candidate pair.
-FILTER_BITS = 23
+#: Bits of the filter that holds back documents which are in no candidate pair: at least and at most, as powers of two; eight a class.
+FILTER_LEAST, FILTER_MOST = 20, 28
+#: Rows of a frequent n-gram that are dealt to one place, at least and at most; about a share of SALT_SHARE of the documents.
+SALT_LEAST, SALT_MOST, SALT_SHARE = 256, 1 << 16, 1 / 128
 
 
 CENSUS = "doc_id long, n long, cid long, sketch binary"
@@ -178,11 +180,12 @@ def _fresh(cid: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
 
 
 class _Order:
-    """Ranks of the common n-grams: 0 for all others."""
+    """Ranks of the common n-grams: 0 for all others; and in how many parts the rows of each are dealt."""
 
-    def __init__(self, rising_by_count: np.ndarray):
+    def __init__(self, rising_by_count: np.ndarray, parts: np.ndarray):
         by = np.argsort(rising_by_count)
         self.grams, self.ranks = rising_by_count[by], by + 1
+        self.parts = np.append(1, parts)  # by rank
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.grams >> np.uint64(BITS - 20)] = True
 
@@ -199,15 +202,17 @@ class _Order:
 _ORDERS: dict[int, _Order] = {}
 
 
-def order_of(spark, rising: np.ndarray) -> _Common:
-    """The global order with these n-grams last, by rising count."""
-    return _Common(uuid.uuid4().int, spark.sparkContext.broadcast(np.ascontiguousarray(rising, dtype=np.uint64).tobytes()))
+def order_of(spark, rising: np.ndarray, times: np.ndarray | None = None, documents: int = 0) -> _Common:
+    """The global order with these n-grams last, by rising count; the counts say in how many parts their rows are dealt."""
+    most = min(max(SALT_LEAST, int(documents * SALT_SHARE)), SALT_MOST)
+    parts = np.ones(len(rising), np.int64) if times is None else -(-np.asarray(times, np.int64) // most)
+    return _Common(uuid.uuid4().int, spark.sparkContext.broadcast(np.ascontiguousarray(rising, dtype=np.uint64).tobytes()), spark.sparkContext.broadcast(parts.astype("<u4").tobytes()))
 
 
 def _order(common) -> _Order:
     if common.id not in _ORDERS:
         _ORDERS.clear()
-        _ORDERS[common.id] = _Order(np.frombuffer(common.bytes.value, dtype=np.uint64))
+        _ORDERS[common.id] = _Order(np.frombuffer(common.bytes.value, dtype=np.uint64), np.frombuffer(common.parts.value, "<u4").astype(np.int64))
     return _ORDERS[common.id]
 
 
@@ -215,10 +220,11 @@ def _order(common) -> _Order:
 class _Common:
     id: int
     bytes: object  # a broadcast
+    parts: object  # another
 
 
 def _prefixes(spec: Spec, common: _Common):
-    """The rare end of each document: n-gram, class, size of the set, place in the order."""
+    """The rare end of each document: n-gram, class, size of the set, place in the order; rows of frequent n-grams are dealt in parts (from 1)."""
 
     @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +249,14 @@ def _prefixes(spec: Spec, common: _Common):
                 cut = at < length[r]
                 out.append((g[cut], r[cut], at[cut]))
             g, r, p = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(cid[r]), pa.array(size[r], pa.int64()), pa.array(p, pa.int64())], names=["gram", "cid", "n", "p"])
+            parts = order.parts[order.rank(g)]
+            salt = np.where(parts > 1, 1 + (cid[r].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(cid[r]), pa.array(size[r], pa.int64()), pa.array(p, pa.int64()), pa.array(salt, pa.int32())], names=["gram", "cid", "n", "p", "salt"])
 
     return run
 
 
-def _fragments(spec: Spec, common: _Common, bits):
+def _fragments(spec: Spec, common: _Common, bits, width: int):
     """The fragments of the documents that the filter lets through, once per class and task."""
 
     @textkit.trimmed
@@ -257,7 +265,7 @@ def _fragments(spec: Spec, common: _Common, bits):
         wanted = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").astype(bool)
         for batch in textkit.chunks(batches):
             h, row, offs, size, cid = _sets(batch, spec)
-            slot = (cid.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            slot = (cid.view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)
             rows = [i for i in np.flatnonzero((size > 0) & wanted[slot]) if not (cid[i] in seen or seen.add(cid[i]))]
             if not rows:
                 continue
@@ -289,33 +297,33 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, lefts, rights = [], batch.column("x"), batch.column("y")
         for x, y in zip(lefts, rights):
-            both = np.concatenate([_wide(x), _wide(y)])
+            # each side once: what a side has twice, of shortened hashes, is no overlap
+            both = np.concatenate([np.unique(_wide(x)), np.unique(_wide(y))])
             both.sort()
             counts.append(int((both[1:] == both[:-1]).sum()))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(counts, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
 
 
-def _filter_bits(ids: DataFrame) -> bytes:
-    """A bitmap of the leading bits of the ids: at most 2**FILTER_BITS bits, whatever their number."""
-    width = 1 << FILTER_BITS
+def _filter_bits(ids: DataFrame, width: int) -> bytes:
+    """A bitmap of the leading bits of the ids: 2**width bits, whatever their number."""
+    size = 1 << 14
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(width, bool)
+        bits = np.zeros(1 << width, bool)
         for batch in batches:
-            bits[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            bits[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
-        size = 1 << 14
         parts = [(i, packed[at : at + size]) for i, at in enumerate(range(0, len(packed), size))]
         parts = [x for x in parts if any(x[1])]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["part", "bits"])
 
     def merge(table: pa.Table) -> pa.Table:
-        out = np.zeros(1 << 14, np.uint8)
+        out = np.zeros(size, np.uint8)
         for x in table.column("bits"):
             out |= np.frombuffer(x.as_buffer(), np.uint8)
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    full = bytearray(width // 8)
+    full = bytearray((1 << width) // 8)
     for r in ids.mapInArrow(pack, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
         full[r.part << 14 : (r.part << 14) + len(r.bits)] = r.bits
     return bytes(full)
@@ -368,8 +376,9 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: Spec,
     likely = pairs.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
     pairs = materialize(likely.mapInArrow(_bounded(spec), "a long, b long, na long, nb long"), "likely")
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
-    bits = spark.sparkContext.broadcast(_filter_bits(ids))
-    parts = docs.select("text").mapInArrow(_fragments(spec, common, bits), "cid long, fragment int, grams binary")
+    width = min(max(FILTER_LEAST, (16 * pairs.count()).bit_length()), FILTER_MOST)
+    bits = spark.sparkContext.broadcast(_filter_bits(ids, width))
+    parts = docs.select("text").mapInArrow(_fragments(spec, common, bits, width), "cid long, fragment int, grams binary")
     parts = parts.dropDuplicates(["cid", "fragment"])
     a = parts.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("x"))
     b = parts.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("y"))
@@ -393,9 +402,13 @@ def _crowd_pairs(crowds: DataFrame, classes: DataFrame, spec: Spec, positional:
 
 
 def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
-    """(node, root) over classes, from rows(gram, cid, n, p) in which linked classes share a gram."""
-    shared = rows.repartition("gram").withColumn("lo", F.expr("min(cid) over (partition by gram)")).withColumn("hi", F.expr("max(cid) over (partition by gram)"))
-    rows = materialize(shared.where("lo <> hi").dropDuplicates(["gram", "cid"]).select("gram", "cid", "n", "p"), "prefixes")
+    """(node, root) over classes, from rows(gram, cid, n, p, salt) in which linked classes share a gram.
+
+    Rows of a frequent gram are dealt by their salt too, which follows from gram and class; all of them are kept.
+    """
+    over = "over (partition by gram, salt)"
+    shared = rows.repartition("gram", "salt").withColumn("lo", F.expr(f"min(cid) {over}")).withColumn("hi", F.expr(f"max(cid) {over}"))
+    rows = materialize(shared.where("lo <> hi or salt > 0").dropDuplicates(["gram", "salt", "cid"]).select("gram", "cid", "n", "p"), "prefixes")
     near = (lambda df: df.where(spec.sizes("na", "nb")).where(spec.enough("least(na - pa, nb - pb)", "na", "nb"))) if positional else (lambda df: df.where(spec.sizes("na", "nb")))
     many = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD), "crowds")
     few = rows.join(many, "gram", "left_anti").withColumn("comp", F.col("cid"))
@@ -427,15 +440,21 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec(), rooted: bool = False) ->
     census = materialize(docs.mapInArrow(_census(spec), CENSUS), "census")
     parts = max(1, docs.count() * 128 // COUNT_AT_ONCE)
     tallies = docs.select("text").mapInArrow(_tallies(spec, parts), "part int, grams binary, times binary").groupBy("part").applyInArrow(_sum_tallies, "gram long, times long")
-    often = tallies.orderBy(F.desc("times"), "gram").limit(COMMON_MOST).select("gram").toPandas()
-    rising = often.gram.to_numpy(dtype=np.int64).view(np.uint64)[::-1]
-    common = order_of(spark, rising)
-    rows = docs.select("text").mapInArrow(_prefixes(spec, common), "gram long, cid long, n long, p long")
+    tallies = materialize(tallies, "tallies")
+    # the least count of which all n-grams can be ranked: counts of counts, a row a count
+    by_times, least, room = tallies.groupBy("times").count().orderBy(F.desc("times")), None, COMMON_MOST
+    for r in by_times.limit(COMMON_MOST).collect():
+        if (room := room - r["count"]) < 0:
+            break
+        least = r.times
+    often = tallies.where(F.col("times") >= least if least is not None else F.lit(False)).toPandas().sort_values(["times", "gram"])
+    common = order_of(spark, often.gram.to_numpy(dtype=np.int64).view(np.uint64), often.times.to_numpy(dtype=np.int64), census.count())
+    rows = docs.select("text").mapInArrow(_prefixes(spec, common), "gram long, cid long, n long, p long, salt int")
     return with_components(docs, census, rows, spec, common, rooted=rooted)
 
 
 def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True, rooted: bool = False) -> DataFrame:
-    """The census with the component of each document, from rows(gram, cid, n, p)."""
+    """The census with the component of each document, from rows(gram, cid, n, p, salt)."""
     own = census.select("doc_id", F.col("n").alias("n_shingles"), "cid")
     classes = census.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
     classes = materialize(classes, "classes")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +46,6 @@ def discard(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark clean up shuffles that nothing refers to any more, which it does when the driver collects garbage."""
-    for _ in range(2):  # the first round lets go of the driver's handles, the second of what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
