@@ -350,49 +350,68 @@ def test_language_model(docs, nothing):
     assert interpolated_lm.score_documents(nothing).count() == 0
 
 
-def test_language_model_is_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("orders", [3, 2])
+def test_language_model_is_brute_force(spark, monkeypatch, orders):
     monkeypatch.setattr(interpolated_lm, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(interpolated_lm, "RANGE_NGRAMS", 500)
-    rows = [(i, prose(100 + i, i % 40)) for i in range(120)]
-    got = {r.doc_id: r for r in interpolated_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows = [(i, prose(100 + i, i % 40)) for i in range(120)] + [(200, ""), (201, None), (202, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in interpolated_lm.score_documents(docs, orders).collect()}
     fold = lambda d: zlib.crc32(str(d).encode()) % 5
     tokens = {d: words(t) + [None] for d, t in rows}
+    grams = lambda ws: [[(w,), (h, w), (g, h, w) if i else None] for i, (g, h, w) in enumerate(zip(["s", "s", *ws], ["s", *ws], ws))]
 
     def count(of):
-        uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+        c, docs = collections.Counter(), 0
         for d, ws in tokens.items():
             if of(fold(d)):
-                uni.update(ws)
-                bi.update(zip(["start", *ws], ws))
-                ctx.update(["start", *ws[:-1]])
-        return uni, bi, ctx
-
-    def parts(model, h, w):
-        uni, bi, ctx = model
-        n, v = sum(uni.values()), len(uni)
-        return (uni[w] + 0.5) / (n + 0.5 * (v + 1)), bi[h, w] / ctx[h] if ctx[h] else 0, ctx[h]
-
-    fitted = count(lambda f: f in (0, 3, 4))
-    events = [parts(fitted, h, w) for d, ws in tokens.items() if fold(d) == 2 for h, w in zip(["start", *ws], ws)]
-    weight = {}
-    for b in {int(math.log2(c)) for _, _, c in events if c}:
-        own, x = [(base, p) for base, p, c in events if c and int(math.log2(c)) == b], 0.5
-        for _ in range(200):
-            x = sum(x * p / (x * p + (1 - x) * base) for base, p in own) / len(own)
-            x = min(max(x, 1e-6), 1 - 1e-6)
-        weight[b] = x
+                docs += 1
+                c.update(x for t in grams(ws) for x in t if x)
+        words_ = {k: n for k, n in c.items() if len(k) == 1}
+        c["s",] = docs  # contexts: the start, and what pairs begin triples
+        return c, sum(words_.values()), len(words_)
+
+    def parts(model, t, order):
+        """The estimate of an order and the frequency of its context."""
+        c, n, _ = model
+        if order == 1:
+            return c[t[0]] / n, 1
+        context = c[t[order - 1][:-1]] if t[order - 1] else 0
+        return (c[t[order - 1]] / context if context else 0), context
+
+    def mixed(model, t, weights):
+        c, n, v = model
+        p = (c[t[0]] + 0.5) / (n + 0.5 * (v + 1))
+        for order, w in enumerate(weights, 1):
+            x, context = parts(model, t, order)
+            w = w.get(int(math.log2(context)), 0.5) if context else 0
+            p = w * x + (1 - w) * p
+        return p
+
+    fitted, weights = count(lambda f: f in (0, 3, 4)), []
+    for order in range(1, orders + 1):
+        by = collections.defaultdict(list)
+        for d, ws in tokens.items():
+            for t in grams(ws) if fold(d) == 2 else []:
+                x, context = parts(fitted, t, order)
+                if context:
+                    by[int(math.log2(context))].append(x / mixed(fitted, t, weights))
+        weights.append({b: interpolated_lm.likeliest(np.array(r), np.ones(len(r))) for b, r in by.items()})
     full = count(lambda f: f != 1)
     for d, ws in tokens.items():
-        want = 0.0
-        for h, w in zip(["start", *ws], ws):
-            base, p, c = parts(full, h, w)
-            x = weight.get(int(math.log2(c)), 0.5) if c else 0
-            want += math.log10(x * p + (1 - x) * base)
-        assert got[d].score == pytest.approx(want, rel=0.02)
+        want = sum(math.log10(mixed(full, t, weights)) for t in grams(ws))
+        assert got[d].score == pytest.approx(want, rel=1e-3)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_mixture_weights_are_the_likeliest():
+    ratio, n = np.array([0.0, 0.5, 3.0, 20.0]), np.array([40.0, 10.0, 30.0, 5.0])
+    w = interpolated_lm.likeliest(ratio, n)
+    of = lambda x: (n * np.log(x * ratio + 1 - x)).sum()
+    assert of(w) >= max(of(x) for x in np.linspace(0.001, 0.999, 999)) - 1e-6
+
+
 # ---- classifier
 
 

@@ -1,19 +1,23 @@
 """Language-model scoring with deleted interpolation.
 
-    P(w | h) = weight(c(h)) * c(h w) / c(h)  +  (1 - weight(c(h))) * base(w)
-    base(w)  = (c(w) + 0.5) / (N + 0.5 * (V + 1))
-
-The weights, one per bucket of the context's frequency, are learned by
-expectation-maximisation on held-out counts: n-grams are counted without one fold
+    P0(w)      = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    P1(w)      = l1 * c(w) / N  +  (1 - l1) * P0(w)
+    P2(w | h)  = l2(c(h)) * c(h w) / c(h)  +  (1 - l2(c(h))) * P1(w)
+    P3(w | gh) = l3(c(g h)) * c(g h w) / c(g h)  +  (1 - l3(c(g h))) * P2(w | h)
+
+Maximum-likelihood estimates of one to three words are mixed; the weights, one per
+bucket of the context's frequency, are learned by expectation-maximisation on held-out
+counts, order by order: n-grams are counted without one fold
 of the training documents, and that fold's events, by bucket and by the ratio of
-the two estimates, are what the weights make likeliest.  The final estimates then
-count the whole training part.
+the estimate to the mixture of lower orders, are what the weights make likeliest.  The final estimates then
+count the whole training part.  A text's first word has its start as context; it has no estimate of order three.
 
 Counts never meet on the driver and no table of n-grams is broadcast.  Documents
 are taken in blocks as they are read; a block asks for the counts of its distinct
 n-grams and brings its own, cut by ranges of their hashes.  Each range is summed
 once and answers every block, in the order in which it asked.  So a common n-gram
-is one number a block, not one a document.
+is one number a block, not one a document.  Words go by hashes of 64 bits; pairs and triples
+by as many bits as leave one in 65,536 of them a hash that another one has too, at any size.
 
 Defined results: a null or empty text is its end token alone.  A null id is in no
 fold: neither held out nor learnt from.  Repeated rows count as often as they stand
@@ -44,11 +48,14 @@ RANGE_NGRAMS = 1 << 20
 BUCKETS = 48
 #: Bins of the ratio of the two estimates, per power of two, for the held-out events.
 BINS, BIN_RANGE = 16, 48
+LEVELS = 64 + 57 * BINS
 FOLDS, HELD_OUT_FOLD, DELETED_FOLD = 5, 1, 2
 
 _END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 _START = np.uint64(0x57A7_57A7_57A7_57A7)
-_LEFT, _RIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_FAR, _LEFT, _RIGHT = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Bits of the hashes of pairs and triples beyond those that number them.
+SPARE_BITS, LEAST_BITS = 16, 40
 
 
 def fold(doc_id: Column) -> Column:
@@ -64,21 +71,19 @@ class _Block:
     doc_id: pa.Array
     fold: np.ndarray
     offs: np.ndarray  # of each document's tokens
-    uni: np.ndarray  # distinct, rising
-    bi: np.ndarray
-    uni_at: np.ndarray  # where each token is in uni
-    ctx_at: np.ndarray  # where its context is in uni; -1 for the start
-    bi_at: np.ndarray
+    grams: list[np.ndarray]  # distinct ones of each order, rising
+    at: list[np.ndarray]  # where each token's n-gram is among them; -1 for none
+    ctx_at: list[np.ndarray]  # where its context is among those of the order below; -1 for the start
 
     def counts(self, fit: bool, order: int) -> np.ndarray:
         """Times of each distinct n-gram in the documents that counts are made from, or in the deleted fold."""
         row = np.repeat(np.arange(len(self.fold)), np.diff(self.offs))
         chosen = (self.fold >= 0) & (self.fold != HELD_OUT_FOLD) & ((self.fold == DELETED_FOLD) != fit)
-        at, size = (self.uni_at, len(self.uni)) if order == 1 else (self.bi_at, len(self.bi))
-        return np.bincount(at[chosen[row]], minlength=size)
+        at = self.at[order - 1]
+        return np.bincount(at[chosen[row] & (at >= 0)], minlength=len(self.grams[order - 1]))
 
 
-def _block(key: str, parts: list[pa.RecordBatch]) -> _Block:
+def _block(key: str, parts: list[pa.RecordBatch], bits: int, orders: int) -> _Block:
     tokens, offs = [], [np.zeros(1, np.int64)]
     for batch in parts:
         for piece in textkit.chunks([batch]):
@@ -93,15 +98,25 @@ def _block(key: str, parts: list[pa.RecordBatch]) -> _Block:
             tokens.append(out)
             offs.append(ends + 1 + offs[-1][-1])
     token, offs = np.concatenate(tokens), np.concatenate(offs)
+    first = offs[:-1]
     uni, uni_at = np.unique(token, return_inverse=True)
-    context = np.append(_START, token[:-1])
-    context[offs[:-1]] = _START
-    pair = textkit.mix(context * _LEFT + token * _RIGHT)
-    bi, bi_at = np.unique(pair, return_inverse=True)
-    ctx_at = np.append(-1, uni_at[:-1])
-    ctx_at[offs[:-1]] = -1
+    before = np.append(_START, token[:-1])
+    before[first] = _START
+    short = np.uint64(64 - bits)
+    bi, bi_at = np.unique(textkit.mix(before * _LEFT + token * _RIGHT) >> short, return_inverse=True)
+    above = np.append(-1, uni_at[:-1])
+    above[first] = -1
+    grams, at, ctx_at = [uni, bi], [uni_at, bi_at], [np.zeros(0, np.int64), above]
+    if orders > 2:
+        far = np.append(_START, before[:-1])
+        longer = np.ones(len(token), bool)
+        longer[first] = False
+        tri, tri_at = np.unique((textkit.mix(far * _FAR + before * _LEFT + token * _RIGHT) >> short)[longer], return_inverse=True)
+        whole, above = np.full(len(token), -1), np.append(-1, bi_at[:-1])
+        whole[longer] = tri_at
+        grams, at, ctx_at = [*grams, tri], [*at, whole], [*ctx_at, above]
     table = pa.Table.from_batches(parts)
-    return _Block(key, table.column("doc_id").combine_chunks(), table.column("fold").to_numpy(), offs, uni, bi, uni_at, ctx_at, bi_at)
+    return _Block(key, table.column("doc_id").combine_chunks(), table.column("fold").to_numpy(), offs, grams, at, ctx_at)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
@@ -136,29 +151,45 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _pack_rising(x: np.ndarray) -> bytes:
-    """Rising hashes as their first and the gaps, in as few bytes each as the widest gap needs (named by the first byte)."""
+    """Rising hashes as their first and the gaps: all lowest bytes, all second ones and so on, as many as the widest gap needs (named by the first byte)."""
     gaps = np.diff(x)
     width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x[:1].astype("<u8").tobytes() + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + x[:1].astype("<u8").tobytes() + len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
 def _unpack_rising(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8, offset=9).reshape(-1, b[0])
-    wide = np.zeros((len(raw) + 1, 8), np.uint8)
+    size = int.from_bytes(b[9:17], "little")
+    raw = np.frombuffer(pa.decompress(b[17:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8).reshape(b[0], -1)
+    wide = np.zeros((raw.shape[1] + 1, 8), np.uint8)
     wide[0] = np.frombuffer(b, np.uint8, 8, 1)
-    wide[1:, : b[0]] = raw
+    wide[1:, : b[0]] = raw.T
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _ask(ranges: int):
+@dataclass(frozen=True)
+class _Plan:
+    """How n-grams are hashed and cut: bits of pairs and triples, ranges of words, ranges of the others, orders."""
+
+    bits: int
+    word_ranges: int
+    ranges: int
+    orders: int
+
+    def edges(self, order: int) -> tuple[int, np.ndarray]:
+        many, bits = (self.word_ranges, 64) if order == 1 else (self.ranges, self.bits)
+        return many, np.array([(i << bits) // many for i in range(1, many)], np.uint64)
+
+
+def _ask(plan: _Plan):
     """What each block asks for and brings: (order, range, block, hashes, counts without the deleted fold, counts of it)."""
 
     @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
         for key, parts in _blocks(batches):
-            block = _block(key, parts)
-            for order, grams in ((1, block.uni), (2, block.bi)):
+            block = _block(key, parts, plan.bits, plan.orders)
+            for order, grams in enumerate(block.grams, 1):
+                ranges, edges = plan.edges(order)
                 cut = [0, *np.searchsorted(grams, edges), len(grams)]
                 some = [i for i in range(ranges) if cut[i] < cut[i + 1]]
                 fit, deleted = block.counts(True, order), block.counts(False, order)
@@ -171,6 +202,15 @@ def _ask(ranges: int):
     return run
 
 
+def _level(c: np.ndarray) -> np.ndarray:
+    """Counts by value up to 64, then by parts of a power of two."""
+    return np.where(c <= 64, c, 64 + np.round(BINS * np.log2(np.maximum(c, 64) / 64))).astype(np.int64)
+
+
+def _of_level(level: np.ndarray) -> np.ndarray:
+    return np.where(level <= 64, level, 64 * 2.0 ** ((level - 64) / BINS))
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Sums a range and answers each block; a row without a block has the range's totals."""
     order, number = table.column("order")[0], table.column("range")[0]
@@ -182,10 +222,12 @@ def _answer(table: pa.Table) -> pa.Table:
     both = fit + deleted
     take = lambda x: [_pack(x[where[cut[i] : cut[i + 1]]]) for i in range(rows)]
     totals = np.array([fit.sum(), (fit > 0).sum(), both.sum(), (both > 0).sum()], np.int64).tobytes()
+    # held-out events by the frequency of their word
+    held = np.bincount(_level(fit), deleted, minlength=LEVELS).astype(np.int64).tobytes() if order.as_py() == 1 else b""
     return pa.table({
         "order": pa.array([order.as_py()] * (rows + 1), pa.int32()), "range": pa.array([number.as_py()] * (rows + 1), pa.int32()),
         "block": pa.array(table.column("block").to_pylist() + [None], pa.string()),
-        "fit": pa.array(take(fit) + [totals], pa.binary()), "deleted": pa.array(take(deleted) + [b""], pa.binary()),
+        "fit": pa.array(take(fit) + [totals], pa.binary()), "deleted": pa.array(take(deleted) + [held], pa.binary()),
     })
 
 
@@ -215,18 +257,18 @@ class _Totals:
     docs: int
 
 
-def _read(row: dict) -> tuple[_Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block with its answers: counts of unigrams and bigrams, without the deleted fold and of it."""
+def _read(row: dict, plan: _Plan) -> tuple[_Block, list[np.ndarray], list[np.ndarray]]:
+    """A block with its answers: counts of each order, without the deleted fold and of it."""
     with pa.ipc.open_stream(row["docs"]) as stream:
-        block = _block(row["block"], list(stream))
-    got = {1: ([], []), 2: ([], [])}
+        block = _block(row["block"], list(stream), plan.bits, plan.orders)
+    fit, deleted = ([[np.zeros(0, np.int64)] for _ in block.grams] for _ in range(2))
     for a in sorted(row["answers"], key=lambda a: (a["order"], a["range"])):
-        got[a["order"]][0].append(_unpack(a["fit"]))
-        got[a["order"]][1].append(_unpack(a["deleted"]))
-    out = [np.concatenate(x) for o in (1, 2) for x in got[o]]
-    if len(out[0]) != len(block.uni) or len(out[2]) != len(block.bi):
+        fit[a["order"] - 1].append(_unpack(a["fit"]))
+        deleted[a["order"] - 1].append(_unpack(a["deleted"]))
+    fit, deleted = ([np.concatenate(x) for x in all_] for all_ in (fit, deleted))
+    if [len(x) for x in fit] != [len(x) for x in block.grams]:
         raise RuntimeError("a block was not answered as it asked")
-    return block, *out
+    return block, fit, deleted
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -239,16 +281,29 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1)
 
 
-def _estimates(block: _Block, uni: np.ndarray, bi: np.ndarray, n: int, v: int, starts: int):
-    """Of each token: the base estimate, the bigram's estimate, the context's frequency."""
-    base = (uni[block.uni_at] + 0.5) / (n + 0.5 * (v + 1))
-    context = np.where(block.ctx_at < 0, starts, uni[block.ctx_at])
-    ratio = bi[block.bi_at] / np.maximum(context, 1)
-    return base, ratio, context
+def _base(block: _Block, counts: list[np.ndarray], n: int, v: int) -> np.ndarray:
+    return (counts[0][block.at[0]] + 0.5) / (n + 0.5 * (v + 1))
+
+
+def _mixture(block: _Block, counts: list[np.ndarray], n: int, v: int, starts: int, weights: list[np.ndarray], upto: int):
+    """Of each token: the mixture of the orders up to one, and of the order after it the estimate and the context's frequency."""
+    mixed = weights[0] * counts[0][block.at[0]] / max(n, 1) + (1 - weights[0]) * _base(block, counts, n, v)
+    for order in range(2, upto + 2):
+        if order > len(counts):
+            return mixed, None, None
+        at, above = block.at[order - 1], block.ctx_at[order - 1]
+        context = np.where(above < 0, starts if order == 2 else 0, counts[order - 2][above] if len(counts[order - 2]) else 0)
+        context = np.where(at < 0, 0, context)
+        ratio = np.where(at < 0, 0, counts[order - 1][at] if len(counts[order - 1]) else 0) / np.maximum(context, 1)
+        if order == upto + 1:
+            return mixed, ratio, context
+        w = np.where(context > 0, weights[order - 1][_bucket(context)], 0)
+        mixed = w * ratio + (1 - w) * mixed
+    return mixed, None, None
 
 
-def _held_out_events(totals: _Totals):
-    """Numbers of the deleted fold's events by bucket and by the ratio of their estimates (bin 0: the bigram is new)."""
+def _held_out_events(totals: _Totals, plan: _Plan, weights: list, order: int):
+    """Numbers of the deleted fold's events by bucket and by the ratio of their estimates (bin 0: the n-gram is new)."""
 
     @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,13 +311,13 @@ def _held_out_events(totals: _Totals):
         total = np.zeros(BUCKETS * width, np.int64)
         for batch in batches:
             for row in _rows(batch):
-                block, uni, _, bi, _ = _read(row)
-                base, ratio, context = _estimates(block, uni, bi, totals.fit_n, totals.fit_v, totals.fit_docs)
+                block, fit, _ = _read(row, plan)
+                mixed, ratio, context = _mixture(block, fit, totals.fit_n, totals.fit_v, totals.fit_docs, weights, order - 1)
                 own = np.repeat(block.fold == DELETED_FOLD, np.diff(block.offs)) & (context > 0)
-                base, ratio, context = base[own], ratio[own], context[own]
-                level = np.zeros(len(base), np.int64)
+                mixed, ratio, context = mixed[own], ratio[own], context[own]
+                level = np.zeros(len(mixed), np.int64)
                 seen = ratio > 0
-                level[seen] = np.clip(np.round((np.log2(ratio[seen] / base[seen]) + BIN_RANGE / 2) * BINS), 1, width - 1)
+                level[seen] = np.clip(np.round((np.log2(ratio[seen] / mixed[seen]) + BIN_RANGE / 2) * BINS), 1, width - 1)
                 total += np.bincount(_bucket(context) * width + level, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // width, pa.int32()), pa.array(at % width, pa.int32()), pa.array(total[at])], names=["bucket", "level", "events"])
@@ -270,40 +325,51 @@ def _held_out_events(totals: _Totals):
     return run
 
 
-def learn_weights(events: list[tuple[int, int, int]], steps: int = 200) -> np.ndarray:
-    """The weight of the bigram estimate per bucket, by expectation-maximisation."""
+def likeliest(ratio: np.ndarray, n: np.ndarray, steps: int = 200) -> float:
+    """The weight of an estimate that stands in these ratios to the other one, by expectation-maximisation over n events."""
+    w = 0.5
+    for _ in range(steps):
+        w = float((n * (w * ratio / (w * ratio + 1 - w))).sum() / n.sum())
+        w = min(max(w, 1e-6), 1 - 1e-6)
+    return w
+
+
+def learn_weights(events: list[tuple[int, int, int]]) -> np.ndarray:
+    """The weight of an order's estimate per bucket."""
     weights = np.full(BUCKETS, 0.5)
     for bucket in {b for b, _, _ in events}:
-        own = [(level, n) for b, level, n in events if b == bucket]
-        level, n = (np.array(x, np.float64) for x in zip(*own))
-        ratio = np.where(level > 0, 2 ** (level / BINS - BIN_RANGE / 2), 0)
-        w = 0.5
-        for _ in range(steps):
-            w = float((n * (w * ratio / (w * ratio + 1 - w))).sum() / n.sum())
-            w = min(max(w, 1e-6), 1 - 1e-6)
-        weights[bucket] = w
+        level, n = (np.array(x, np.float64) for x in zip(*[(level, n) for b, level, n in events if b == bucket]))
+        weights[bucket] = likeliest(np.where(level > 0, 2 ** (level / BINS - BIN_RANGE / 2), 0), n)
     return weights
 
 
+def word_weight(held: np.ndarray, n: int, v: int) -> float:
+    """The weight of the words' estimate, from the held-out events by the level of their word's count."""
+    level = np.flatnonzero(held)
+    if not len(level) or not n:
+        return 0.5
+    c = _of_level(level)
+    return likeliest((c / n) / ((c + 0.5) / (n + 0.5 * (v + 1))), held[level].astype(np.float64))
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(totals: _Totals, weights: np.ndarray):
+def _score(totals: _Totals, plan: _Plan, weights: list):
     @textkit.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                block, uni, uni_deleted, bi, bi_deleted = _read(row)
-                uni = uni + uni_deleted
-                base, ratio, context = _estimates(block, uni, bi + bi_deleted, totals.n, totals.v, totals.docs)
-                w = np.where(context > 0, weights[_bucket(context)], 0)
-                model = np.log10(w * ratio + (1 - w) * base)
+                block, fit, deleted = _read(row, plan)
+                counts = [a + b for a, b in zip(fit, deleted)]
+                base = _base(block, counts, totals.n, totals.v)
+                model, _, _ = _mixture(block, counts, totals.n, totals.v, totals.docs, weights, plan.orders)
                 at, rows = block.offs[:-1], len(block.fold)
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.doc_id, pa.array(block.fold == HELD_OUT_FOLD), pa.array(np.diff(block.offs)),
-                        pa.array(np.add.reduceat((uni[block.uni_at] > 0).astype(np.int64), at)), pa.array(np.full(rows, totals.n, np.int64)),
-                        pa.array(np.add.reduceat(np.log10(base), at)), pa.array(np.add.reduceat(model, at)),
+                        pa.array(np.add.reduceat((counts[0][block.at[0]] > 0).astype(np.int64), at)), pa.array(np.full(rows, totals.n, np.int64)),
+                        pa.array(np.add.reduceat(np.log10(base), at)), pa.array(np.add.reduceat(np.log10(model), at)),
                     ],
                     names=[c.split()[0] for c in SCORES.split(", ")],
                 )
@@ -318,24 +384,30 @@ def _replayable(docs: DataFrame) -> bool:
     return bool(docs.inputFiles()) and kinds <= {"Project", "Filter", "Relation", "RelationV2"}
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Scores of every document; see SCORES."""
+def score_documents(docs: DataFrame, orders: int = 3) -> DataFrame:
+    """Scores of every document; see SCORES. ``orders`` is two or three."""
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").select("doc_id", "text", fold(F.col("doc_id")).alias("fold"))
     if not _replayable(docs):
         docs = materialize(docs, "documents")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.when(F.col("fold").between(0, FOLDS - 1) & (F.col("fold") != HELD_OUT_FOLD), 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("fold").between(0, FOLDS - 1) & ~F.col("fold").isin(HELD_OUT_FOLD, DELETED_FOLD), 1).otherwise(0)).alias("f")).first()
-    # a distinct bigram for eight bytes of text is common
+    # a distinct pair or triple for eight bytes of text is common; words are far fewer
     ranges = max(1, int((size.b or 0) // 8 // RANGE_NGRAMS) + 1)
-    asked = docs.mapInArrow(_ask(ranges), "order int, range int, block string, grams binary, fit binary, deleted binary")
+    bits = min(64, max(LEAST_BITS, SPARE_BITS + int((size.b or 0) // 4).bit_length()))
+    plan = _Plan(bits, 1 + ranges // 8, ranges, orders)
+    asked = docs.mapInArrow(_ask(plan), "order int, range int, block string, grams binary, fit binary, deleted binary")
+    asked = asked.repartition(plan.word_ranges + (orders - 1) * ranges, "order", "range")  # a place for each range, however many there are
     answers = materialize(asked.groupBy("order", "range").applyInArrow(_answer, ANSWER), "answers")
-    sums = np.zeros(4, np.int64)
-    for r in answers.where("block is null and order = 1").select("fit").collect():  # a row a range
+    sums, held = np.zeros(4, np.int64), np.zeros(LEVELS, np.int64)
+    for r in answers.where("block is null and order = 1").select("fit", "deleted").collect():  # a row a range of words
         sums += np.frombuffer(r.fit, np.int64)
+        held += np.frombuffer(r.deleted, np.int64)
     totals = _Totals(*map(int, sums), fit_docs=int(size.f or 0), docs=int(size.n or 0))
     given = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("order", "range", "fit", "deleted")).alias("answers"))
     joined = materialize(docs.mapInArrow(_payload, PAYLOAD).join(given, "block", "left"), "blocks")
     discard(answers)
-    events = joined.mapInArrow(_held_out_events(totals), "bucket int, level int, events long").groupBy("bucket", "level").agg(F.sum("events").alias("events")).collect()
-    weights = learn_weights([(r.bucket, r.level, r.events) for r in events])
-    return joined.mapInArrow(_score(totals, weights), SCORES)
+    weights: list = [word_weight(held, totals.fit_n, totals.fit_v)]
+    for order in range(2, orders + 1):
+        events = joined.mapInArrow(_held_out_events(totals, plan, weights, order), "bucket int, level int, events long").groupBy("bucket", "level").agg(F.sum("events").alias("events")).collect()
+        weights.append(learn_weights([(r.bucket, r.level, r.events) for r in events]))
+    return joined.mapInArrow(_score(totals, plan, weights), SCORES)
