@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tiltmine.llm import textkit
-from tiltmine.llm.ngram_join import BITS, SALT_LEAST, SALT_MOST, SALT_SHARE, Spec, class_ids, order_of, sketches, with_components
+from tiltmine.llm.ngram_join import BITS, SALT_LEAST, SALT_MOST, SALT_SHARE, Spec, class_components, class_ids, order_of, sketches
 from tiltmine.llm.shared import materialize, only
 
 PERMUTATIONS = 64
@@ -190,7 +190,7 @@ def clustered(docs: DataFrame, near: Spec = Spec(SHINGLE_WORDS, 80, 100)) -> Dat
     classes = materialize(classes, "classes")
     rows = _dealt(classes.select(F.explode(bands).alias("gram"), "cid", "n", F.lit(0).cast("long").alias("p")), classes.count())
     census = prints.select("doc_id", "n", "cid", "sketch")
-    found = with_components(only(docs, "doc_id", "text"), census, rows, near, order_of(spark, np.zeros(0, np.uint64)), positional=False)
-    clusters = materialize(found.where("cid is not null").groupBy("cid").agg(F.min("component_id").alias("cluster_id")), "clusters")
+    clusters = class_components(only(docs, "doc_id", "text"), census, rows, near, order_of(spark, np.zeros(0, np.uint64)), positional=False)
+    clusters = clusters.select("cid", F.col("component_id").alias("cluster_id"))
     out = prints.join(clusters, "cid", "left").withColumn("cluster_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")))
     return out.select(*[f.name for f in FINGERPRINTS][:7], "cluster_id")

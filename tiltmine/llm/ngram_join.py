@@ -453,15 +453,24 @@ def jaccard_join(docs: DataFrame, spec: Spec = Spec(), rooted: bool = False) ->
     return with_components(docs, census, rows, spec, common, rooted=rooted)
 
 
-def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True, rooted: bool = False) -> DataFrame:
-    """The census with the component of each document, from rows(gram, cid, n, p, salt)."""
-    own = census.select("doc_id", F.col("n").alias("n_shingles"), "cid")
+def class_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
+    """(cid, component_id, root) of each class of the census, stored, from rows(gram, cid, n, p, salt)."""
     classes = census.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     roots = components(docs, rows, classes, spec, common, positional)
     classes = classes.join(roots, classes.cid == roots.node, "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("cid", "component_id", *(["root"] if rooted else []))
+    classes = materialize(classes, "rooted")
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    return materialize(classes.join(least, "root").select("cid", "component_id", "root"), "components")
+
+
+def with_components(docs: DataFrame, census: DataFrame, rows: DataFrame, spec: Spec, common: _Common, rooted: bool = False) -> DataFrame:
+    """The census with the component of each document.
+
+    Classes are stored before their documents are joined to them, so that Spark can split the copies of one class.
+    """
+    own = census.select("doc_id", F.col("n").alias("n_shingles"), "cid")
+    classes = class_components(docs, census, rows, spec, common)
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return own.join(classes, "cid", "left").select("doc_id", "n_shingles", "cid", component, *(["root"] if rooted else []))
 
