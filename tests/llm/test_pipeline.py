@@ -44,3 +44,23 @@ def test_no_private_data_is_left(stages):
 def test_run_is_the_stages(spark, stages):
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1])
+
+
+def test_odd_tables(spark):
+    """Nulls, empty and long texts, repeated rows, extra columns and no rows: every stage gives rows for what is left."""
+    from tiltmine.llm import ngram_join, packing, surrogates
+
+    import public_tokenizers
+
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, long), (2, long), (3, None), (4, ""), (5, "a b"), (5, "a b"), (None, "Mr Smith, password: ______"), (6, "Mr A and Mr E and Mr I"), (7, " \t ")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, cid long, found int")
+    kept = ngram_join.one_of_each(docs, corpus_pipeline.NEAR)
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), *((True, i) for i in (1, 3, 4, 5, 6, 7))]
+    changed = surrogates.anonymise(kept, b"a key")
+    assert changed.columns == docs.columns and {r.doc_id: r.text for r in changed.collect()}[1] == long
+    pieces = packing.pack_documents(changed, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id for r in pieces} == {None, 1, 3, 4, 5, 6, 7} and max(r.length for r in pieces) == 4096
+    empty = spark.createDataFrame([], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name

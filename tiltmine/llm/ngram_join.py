@@ -57,6 +57,8 @@ GRAM_BYTES = 6
 BLOCK = 1024
 #: Bits of the filter that holds back documents which are in no candidate pair: at least and at most, as powers of two; eight a class.
 FILTER_LEAST, FILTER_MOST = 20, 28
+#: N-grams of crowds (16 bytes each) up to which they are broadcast.
+BROADCAST_GRAMS = 1 << 20
 #: Rows of a frequent n-gram that are dealt to one place, at least and at most; about a share of SALT_SHARE of the documents.
 SALT_LEAST, SALT_MOST, SALT_SHARE = 256, 1 << 16, 1 / 128
 
@@ -401,6 +403,11 @@ def _crowd_pairs(crowds: DataFrame, classes: DataFrame, spec: Spec, positional:
     return rows.groupBy("gram", "lo", "hi").applyInArrow(_meet(spec, positional, best), "a long, b long, na long, nb long").dropDuplicates(["a", "b"])
 
 
+def _small(grams: DataFrame) -> DataFrame:
+    """Stored n-grams, broadcast up to BROADCAST_GRAMS, so that the rows of frequent ones stay where they are."""
+    return F.broadcast(grams) if grams.count() <= BROADCAST_GRAMS else grams
+
+
 def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec, common: _Common, positional: bool = True) -> DataFrame:
     """(node, root) over classes, from rows(gram, cid, n, p, salt) in which linked classes share a gram.
 
@@ -411,15 +418,16 @@ def components(docs: DataFrame, rows: DataFrame, classes: DataFrame, spec: Spec,
     rows = materialize(shared.where("lo <> hi or salt > 0").dropDuplicates(["gram", "salt", "cid"]).select("gram", "cid", "n", "p"), "prefixes")
     near = (lambda df: df.where(spec.sizes("na", "nb")).where(spec.enough("least(na - pa, nb - pb)", "na", "nb"))) if positional else (lambda df: df.where(spec.sizes("na", "nb")))
     many = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD), "crowds")
-    few = rows.join(many, "gram", "left_anti").withColumn("comp", F.col("cid"))
-    links, crowds = None, rows.join(many, "gram").withColumn("comp", F.col("cid"))
+    listed = _small(many)
+    few = rows.join(listed, "gram", "left_anti").withColumn("comp", F.col("cid"))
+    links, crowds = None, rows.join(listed, "gram").withColumn("comp", F.col("cid"))
     if not many.isEmpty():
         led = materialize(_crowd_pairs(crowds, classes, spec, positional, True), "led")
         links = materialize(verified(docs, led, classes, spec, common).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         first = materialize(connected_components(links), "first")
-        crowds = rows.join(many, "gram").join(first, rows.cid == first.node, "left").select("gram", "cid", "n", "p", "many", F.coalesce("root", "cid").alias("comp"))
-        mixed = crowds.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-        crowds = materialize(crowds.join(mixed, "gram", "left_semi"), "mixed")
+        crowds = rows.join(listed, "gram").join(first, rows.cid == first.node, "left").select("gram", "cid", "n", "p", "many", F.coalesce("root", "cid").alias("comp"))
+        mixed = materialize(crowds.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram"), "unlike")
+        crowds = materialize(crowds.join(_small(mixed), "gram", "left_semi"), "mixed")
         few = few.join(first, few.cid == first.node, "left").select("gram", "cid", "n", "p", F.coalesce("root", "cid").alias("comp"))
     x = few.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
     y = few.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
