@@ -53,8 +53,8 @@ from pyspark.sql import types as T
 from tiltmine.llm import textkit
 from tiltmine.llm.shared import discard, materialize
 
-#: The setting that holds the key, in hexadecimal.
-KEY_SETTING = "spark.tiltmine.surrogates.key"
+#: The setting that holds the key, in hexadecimal; Spark hides settings of such a name in its logs and pages.
+KEY_SETTING = "spark.tiltmine.surrogates.secret"
 #: Exceptions (entities in a collision) up to which they are broadcast; beyond, they are joined to their documents.
 EXCEPTIONS_MOST = 50_000
 #: Rounds of collision checks after which the key is at fault.
