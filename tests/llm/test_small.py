@@ -455,6 +455,29 @@ def test_risk_never_falls_below_zero_part():
     assert m.score(wide(p)).mean() > 0.7 and m.score(wide(u[160:])).mean() < 0.4
 
 
+def test_slopes_are_those_of_the_risk(monkeypatch):
+    """What the fit descends by, against differences of the non-negative risk."""
+    rng = np.random.default_rng(1)
+    p, u = (rng.normal(at, 1, (n, pu_quality.WIDTH)).astype(np.float32) for at, n in ((1, 40), (-1, 50)))
+    asked, descend = [], pu_quality._descend
+    monkeypatch.setattr(pu_quality, "_descend", lambda *a: (asked.append(a), descend(*a))[1])
+    prior = pu_quality.fit(p, u).prior
+    slopes, seen = asked[-1][-1], set()
+    loss = lambda z: np.logaddexp(0, z).mean()
+    rest = lambda zp, zu: loss(zu) - prior * loss(zp)
+    for shift in (3.0, -8.0):
+        z = [rng.normal(2, 1, 40), rng.normal(shift, 1, 50)]
+        below = bool(rest(*z) < 0)
+        seen.add(below)
+        risk = (lambda zp, zu: -rest(zp, zu)) if below else (lambda zp, zu: prior * loss(-zp) + rest(zp, zu))
+        for side, slope in enumerate(slopes(*z)):
+            for i in range(len(slope)):
+                step = [np.zeros(40), np.zeros(50)]
+                step[side][i] = 1e-5
+                assert slope[i] == pytest.approx((risk(z[0] + step[0], z[1] + step[1]) - risk(z[0] - step[0], z[1] - step[1])) / 2e-5, abs=1e-6)
+    assert seen == {True, False}
+
+
 # ---- search
 
 
