@@ -1,5 +1,8 @@
 """State over batches: the seven-batch example, exact replay, idempotence."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from tiltmine.options import Options
 from tiltmine.streaming import state as streaming
 
 
+HOURS = {"A": 68, "AB": 23, "AD": 43, "B": 25, "C": 29, "AC": 24, "ACD": 22, "BC": 4, "CD": 23, "D": 44}
+AFTER_SEVEN = {k: {0: 0, 1: 0, 2: 0, 4: v} for k, v in HOURS.items()} | {"E": {0: 0, 1: 1, 2: 1}, "F": {0: 1, 1: 0, 2: 0}}
+
+
 def batch(spark, b):
     return spark.createDataFrame([(i, sorted(set(t))) for i, t in enumerate(FIXTURE[b])], "line_id long, items array<string>")
 
@@ -37,9 +44,7 @@ def test_numbers_of_patterns(pruned):
 
 
 def test_windows_after_seven_batches(pruned):
-    hours = {"A": 68, "AB": 23, "AD": 43, "B": 25, "C": 29, "AC": 24, "ACD": 22, "BC": 4, "CD": 23, "D": 44}
-    want = {k: {0: 0, 1: 0, 2: 0, 4: v} for k, v in hours.items()} | {"E": {0: 0, 1: 1, 2: 1}, "F": {0: 1, 1: 0, 2: 0}}
-    assert named(pruned[0].windows(6)) == want
+    assert named(pruned[0].windows(6)) == AFTER_SEVEN
 
 
 def test_a_batch_run_again_changes_nothing(spark, pruned):
@@ -77,6 +82,56 @@ def test_pruned_is_within_exact(spark, pruned):
         assert all(v <= exact.get((pattern, b), 0) for b, v in window.items())
 
 
+def plain_pruned(batches, sigma, epsilon):
+    """Pruned state in plain Python: {pattern, in the order of the item list: {bucket: support}} after all batches."""
+    least = lambda share, x: math.ceil(round(share * x, 9))
+    place, state, sizes = {}, {}, []
+
+    def by_bucket(rows, n):
+        out = Counter()
+        for b, x in rows:
+            if (k := tilted.bucket_of(n, b)) is not None:
+                out[k] += x
+        return out
+
+    def shortened(rows, n):
+        window, whole, cut, s, z = by_bucket(rows.items(), n), by_bucket(enumerate(sizes), n), None, 0, 0
+        for k in sorted(window, reverse=True):
+            s, z = s + window[k], z + whole[k]
+            if window[k] >= least(sigma, whole[k]) or s >= least(epsilon, z):
+                break
+            cut = min((o for o in tilted.OFFSETS if o >= k), default=None)
+        at = {b: tilted.bucket_of(n, b) for b in rows}
+        return {b: x for b, x in rows.items() if at[b] is not None and (cut is None or at[b] < cut)}
+
+    for b, txs in enumerate(batches):
+        txs = [set(t) for t in txs]
+        sizes.append(len(txs))
+        minimum = max(1, int(round(epsilon * len(txs), 9)))
+        support = Counter(i for t in txs for i in t)
+        frequent = {i for i in support if support[i] >= minimum}
+        for i in sorted(frequent - place.keys(), key=lambda i: (-support[i], i)):
+            place[i] = len(place)
+        known, updated, level = set(state), {}, {(i,) for i in frequent}
+        while level:
+            counts = {p: sum(set(p) <= t for t in txs) for p in level}
+            counts = {p: c for p, c in counts.items() if c >= minimum}
+            updated |= counts
+            opened = [p for p in counts if b == 0 or (p in known and shortened(state[p] | {b: counts[p]}, b + 1))]
+            level = {(i, *p) for p in opened for i in frequent if place[i] < place[p[0]]}
+        for p in known | updated.keys():
+            rows = state[p] if p in known else {x: 0 for x in range(4 * (b // 4), b)}
+            state[p] = rows | {b: updated.get(p, 0)}
+            if b and p in known:
+                state[p] = shortened(state[p], b + 1)
+        state = {p: rows for p, rows in state.items() if rows}
+    return {p: dict(by_bucket(rows.items(), len(batches))) for p, rows in state.items()}
+
+
+def test_the_plain_algorithm_has_the_windows_of_the_seven_batches():
+    assert {"".join(sorted(p)): w for p, w in plain_pruned(FIXTURE, 0.4, 0.05).items()} == AFTER_SEVEN
+
+
 def test_throughput():
     assert streaming.throughput({"processedRowsPerSecond": 10.0}, 8)["episodes_per_s"] == 80.0
 
