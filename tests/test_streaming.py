@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiltmine.functions import tilted
-from tiltmine.operators import mining
+from tiltmine.operators import mining, windows
 from tiltmine.operators.constraints import Constraints, Kind
 from tiltmine.plans.analyst import Analyst
-from tiltmine.plans.catalogue import FIXTURE
 from tiltmine.options import Options
+from tiltmine.plans.catalogue import FIXTURE, PRUNED, QUERIES
+from tiltmine.plans.events import ingested
 from tiltmine.streaming import state as streaming
 
 
@@ -132,6 +133,32 @@ def test_the_plain_algorithm_has_the_windows_of_the_seven_batches():
     assert {"".join(sorted(p)): w for p, w in plain_pruned(FIXTURE, 0.4, 0.05).items()} == AFTER_SEVEN
 
 
+def test_pruned_replay_of_all_events(spark):
+    """The registered query against the plain algorithm, over the whole table."""
+    sf = "/root/testdata/sf0.001"
+    tx = windows.with_batches(ingested(spark, sf).select("event_id", windows.quarter(F.col("time_s"), PRUNED.batch_seconds).alias("quarter"), "items"))
+    rows = tx.select("batch_id", "items").collect()
+    batches = [[r["items"] for r in rows if r.batch_id == b] for b in range(max(r.batch_id for r in rows) + 1)]
+    want = {"|".join(sorted(p)): w for p, w in plain_pruned(batches, PRUNED.sigma, PRUNED.epsilon).items()}
+    got = {}
+    for r in QUERIES["stream_pruned_replay"](spark, sf).collect():
+        got.setdefault(r.pattern, {})[r.bucket] = r.support
+    assert len(want) > 100 and got == want
+
+
+def test_least_support_to_keep_a_window(spark):
+    """Just at it a window stays, just below it droppable_tails drops it whole."""
+    old = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 1, 9), ("b", 4, 0), ("c", 4, 3)], "pattern string, bucket int, support long")
+    sizes = spark.createDataFrame([(1, 10), (2, 10), (4, 40)], "bucket int, size long")
+    least = {r.pattern: r.least for r in windows.least_to_keep(old, sizes, 20, 0.4, 0.1).collect()}
+    assert least == {"a": 3, "b": 0, "c": 3}
+    whole = sizes.union(spark.createDataFrame([(0, 20)], "bucket int, size long"))
+    for less in (0, 1):
+        now = spark.createDataFrame([(p, 0, max(0, n - less)) for p, n in least.items()], "pattern string, bucket int, support long")
+        gone = {r.pattern for r in windows.droppable_tails(old.union(now), whole, 0.4, 0.1).collect() if r.drop_from == 0}
+        assert gone == ({"a", "c"} if less else set())
+
+
 def test_throughput():
     assert streaming.throughput({"processedRowsPerSecond": 10.0}, 8)["episodes_per_s"] == 80.0
 

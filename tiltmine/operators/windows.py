@@ -77,6 +77,19 @@ def cumulative_tail(window_rows: DataFrame, key: str = "pattern", value: str = "
     return window_rows.withColumn("cumulative", F.expr(f"sum({value}) over (partition by {key} order by bucket desc rows between unbounded preceding and current row)"))
 
 
+def least_to_keep(older: DataFrame, sizes: DataFrame, newest: int, sigma: float, epsilon: float, key: str = "pattern") -> DataFrame:
+    """(key, least): the support in the newest batch, of ``newest`` events, from which a window keeps anything.
+
+    older(key, bucket, support) and sizes(bucket, size) as in ``droppable_tails``, without the newest batch: a window
+    goes as a whole if all its older buckets are below both bounds and the newest one is, too.
+    """
+    rows = cumulative_tail(older.join(F.broadcast(sizes), "bucket"), key).withColumn("z", F.expr(f"sum(size) over (partition by {key} order by bucket desc rows between unbounded preceding and current row)"))
+    below = F.expr(f"support < ceil(round({sigma}D * size, 9)) and cumulative < ceil(round({epsilon}D * z, 9))")
+    sums = rows.groupBy(key).agg(F.min(below).alias("below"), F.sum("support").alias("s"), F.sum("size").alias("z"))
+    least = F.expr(f"least(ceil(round({sigma}D * {newest}, 9)), ceil(round({epsilon}D * (z + {newest}), 9)) - s)")
+    return sums.select(key, F.when(F.col("below"), least).otherwise(0).cast("long").alias("least"))
+
+
 def droppable_tails(window_rows: DataFrame, sizes: DataFrame, sigma: float, epsilon: float, key: str = "pattern") -> DataFrame:
     """(key, drop_from): the bucket from which a window's tail can be dropped; null where none can.
 

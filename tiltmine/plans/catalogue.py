@@ -679,7 +679,7 @@ PRUNED = Options(sigma=0.1, epsilon=0.05, batch_seconds=5 * 86_400)
 
 @query()
 def stream_pruned_replay(spark, sf_dir):
-    """Windows of pruned state after all events, in long batches; no SQL and no test of its own yet."""
+    """Windows of pruned state after all events, in long batches; no SQL, held against the plain algorithm in the tests."""
     tx = ingested(spark, sf_dir).select("event_id", windows.quarter(F.col("time_s"), PRUNED.batch_seconds).alias("quarter"), "items")
     tx = store(windows.with_batches(tx), "batches")
     state = streaming.PrunedState(spark, fresh_folder(spark, "state"), PRUNED.sigma, PRUNED.epsilon)

@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tiltmine.functions import tilted
 from tiltmine.operators import mining, windows
@@ -74,7 +75,7 @@ class PrunedState:
 
     def _read(self, name: str, schema: str, version: int) -> DataFrame:
         if version < 0:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{version}")
 
     def _work(self, df: DataFrame, name: str, schema: str, version: int) -> DataFrame:
@@ -116,7 +117,7 @@ class PrunedState:
 
         # items keep their place once they have one; new ones follow by falling support
         listed = self._read("items", ITEMS, v - 1)
-        frequent = mining.item_support(transactions).where(F.col("support") >= minimum)
+        frequent = self._work(mining.item_support(transactions).where(F.col("support") >= minimum), "frequent", "item string, support long", v)
         start = listed.count()
         fresh = frequent.join(listed, "item", "left_anti").select("item", F.expr(f"cast({start - 1} + row_number() over (order by support desc, item) as int)").alias("position"))
         listed = self._write(listed.unionByName(fresh), "items", ITEMS, v)
@@ -126,9 +127,10 @@ class PrunedState:
         ordered = tx.select("tx", F.explode("items").alias("item")).join(place, "item").groupBy("tx").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("l"))
         ordered = self._work(ordered.select("tx", F.transform("l", lambda x: x["item"]).alias("items")), "transactions", "tx long, items array<string>", v)
 
-        known = old.select("pattern").distinct()
+        if v > 0:
+            known = self._work(self._known(old, sizes, n, events), "known", "pattern array<string>, least long", v)
         rows = ordered.select("tx", "items", F.posexplode("items").alias("at", "item")).select("tx", "items", "at", F.array("item").alias("pattern"))
-        updated = self.spark.createDataFrame([], STATE)
+        updated = self._read("patterns", STATE, -1)
         level = 0
         while True:
             level += 1
@@ -137,28 +139,31 @@ class PrunedState:
             if counts.isEmpty():
                 break
             if v == 0:
-                keep = self.constraints.filter(counts, transactions.select(F.explode("items").alias("item")), "pattern") if self.constraints else counts
-                grown, opened = keep, counts
+                grown = self.constraints.filter(counts, transactions.select(F.explode("items").alias("item")), "pattern") if self.constraints else counts
+                opened = counts
             else:
-                grown = counts
-                appended = old.join(counts, "pattern", "left_semi").unionByName(counts.join(known, "pattern", "left_semi").select("pattern", F.lit(batch_id).alias("batch_id"), "support"))
-                left = self._without_tails(appended, sizes, n)
-                opened = counts.join(left.select("pattern").distinct(), "pattern", "left_semi")
+                grown, opened = counts, counts.join(known, "pattern").where("support >= least")
             updated = updated.unionByName(grown.select("pattern", F.lit(batch_id).alias("batch_id"), "support"))
             # grow by each item that stands before the first of the set
             rows = rows.join(opened.select("pattern"), "pattern", "left_semi").where("at > 0")
             rows = rows.select("tx", "items", "pattern", F.posexplode(F.expr("slice(items, 1, at)")).alias("at", "item")).select("tx", "items", "at", F.concat(F.array("item"), F.col("pattern")).alias("pattern"))
             rows = self._work(rows, f"rows{level}", "tx long, items array<string>, at int, pattern array<string>", v)
 
-        since = 4 * (batch_id // 4)
-        padding = updated.join(known, "pattern", "left_anti").select("pattern", F.explode(F.sequence(F.lit(since), F.lit(batch_id))).alias("batch_id"), F.lit(0).cast("long").alias("support")).where(F.col("batch_id") < batch_id)
-        untouched = known.join(updated, "pattern", "left_anti").select("pattern", F.lit(batch_id).alias("batch_id"), F.lit(0).cast("long").alias("support"))
-        now = old.unionByName(updated).unionByName(padding).unionByName(untouched)
         if v == 0:
-            return self._write(now, "patterns", STATE, v)
-        # a pattern that is new keeps its window in its first batch
-        checked = self._without_tails(now.join(known, "pattern", "left_semi"), sizes, n)
-        return self._write(checked.unionByName(now.join(known, "pattern", "left_anti")), "patterns", STATE, v)
+            return self._write(updated, "patterns", STATE, v)
+        # a pattern that is new begins with its hour, and keeps its window in its first batch
+        new = updated.join(known, "pattern", "left_anti")
+        since = F.explode(F.sequence(F.lit(4 * (batch_id // 4)), F.lit(batch_id)))
+        new = new.select("pattern", since.alias("b"), F.col("support").alias("s")).select("pattern", F.col("b").alias("batch_id"), F.expr(f"if(b = {batch_id}, s, 0L)").alias("support"))
+        now = known.join(updated, "pattern", "left").select("pattern", F.lit(batch_id).alias("batch_id"), F.coalesce("support", F.lit(0).cast("long")).alias("support"))
+        return self._write(self._without_tails(old.unionByName(now), sizes, n).unionByName(new), "patterns", STATE, v)
+
+    def _known(self, old: DataFrame, sizes: DataFrame, n: int, events: int) -> DataFrame:
+        """(pattern, least): patterns of the state, and the support in batch n - 1 from which they keep a window."""
+        by_bucket = sizes.where(F.col("batch_id") < n - 1).withColumn("bucket", tilted.bucket(n, F.col("batch_id"))).where("bucket is not null").groupBy("bucket").agg(F.sum("events").alias("size"))
+        least = windows.least_to_keep(tilted.windows(old, n), by_bucket, events, self.sigma, self.epsilon)
+        alone = F.expr(f"cast(least(ceil(round({self.sigma}D * {events}, 9)), ceil(round({self.epsilon}D * {events}, 9))) as long)")  # no older bucket is left
+        return old.select("pattern").distinct().join(least, "pattern", "left").withColumn("least", F.coalesce("least", alone))
 
     def _without_tails(self, rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
         number = tilted.bucket(n, F.col("batch_id"))
