@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tiltmine.llm import byte_bpe, graph, interpolated_lm, minhash, ngram_join, packing, pu_quality, quotations, surrogates, topk, url_rules
+from tiltmine.llm import byte_bpe, graph, interpolated_lm, minhash, ngram_join, packing, pu_quality, quotations, surrogates, textkit, topk, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cid long, grp int, own boolean, rank int, fold int, found int, score double"
 RNG = random.Random(11)
@@ -339,6 +340,74 @@ def test_byte_packed_counts():
 # ---- language model
 
 
+def test_language_model_messages():
+    r = np.random.default_rng(5)
+    for bits, ranges in ((64, 1), (47, 700), (40, 1), (52, 9000)):
+        plan = interpolated_lm._Plan(min(bits, 62), 1 + ranges // 8, ranges, 3)
+        order = 1 if bits == 64 else 2
+        blocks = [np.unique(r.integers(0, 2 ** plan.of(order)[1] - 1, n, dtype=np.uint64, endpoint=True)) for n in (1, 3000, 200)]
+        blocks[2] = np.unique(np.append(blocks[2], np.arange(300, dtype=np.uint64) + blocks[1][7]))  # a full value above the bytes sent
+        got = [[] for _ in blocks]
+        written = [plan.write(order, b) for b in blocks]
+        for number in range(plan.of(order)[0]):
+            rows = [(i, list(some).index(number)) for i, (some, _, _) in enumerate(written) if number in some]
+            if rows:
+                low, top = (interpolated_lm.pa.chunked_array([written[i][2][c].slice(at, 1) for i, at in rows]) for c in (0, 1))
+                grams, sizes = plan.read(order, number, low, top)
+                for (i, _), part in zip(rows, np.split(grams, np.cumsum(sizes)[:-1])):
+                    got[i] += [int(x) + plan.edges(order)[number] for x in part]
+        assert got == [[int(x) for x in b] for b in blocks]
+
+
+def test_language_model_counts_in_cells():
+    some = [0, 1, 2, 3, 4, 7, 8, 9, 254, 255, 256, 70_000, 2**40]
+    fit, deleted = (np.array(x) for x in zip(*[(a, b) for a in some for b in some]))
+    cut = np.array([0, 1, 1, 8, 9, 100, len(fit)])
+    cells = interpolated_lm._count_cells(fit, deleted, cut)
+    names = [c.split()[0] for c in interpolated_lm.COUNTS.split(", ")]
+    for rows in (slice(0, 6), slice(3, 5), slice(1, 2)):
+        table = interpolated_lm.pa.table([c[rows] for c in cells], names=names)
+        got = interpolated_lm._read_counts(table)
+        between = slice(cut[rows.start], cut[rows.stop])
+        assert [list(x) for x in got] == [list(fit[between]), list(deleted[between])]
+
+
+@pytest.mark.parametrize("bits", [64, 60, 50])
+def test_hashes_in_rising_order(bits):
+    r = np.random.default_rng(6)
+    h = r.integers(0, 2 ** (bits - 1), 5000, dtype=np.uint64)
+    h = np.concatenate([h, h[:500] ^ np.uint64(1), h[:500] ^ np.uint64(3), h[:50]])  # unlike in the lowest bits alone
+    rising, where = interpolated_lm._rising(h, bits)
+    assert (rising == np.sort(h)).all() and (h[where] == rising).all() and sorted(where) == list(range(len(h)))
+    kind = (np.arange(len(h)) % 3).astype(np.uint8)
+    grams, one, two = interpolated_lm._counted(h, kind, bits)
+    want = collections.Counter(zip(h.tolist(), kind.tolist()))
+    assert grams.tolist() == sorted(set(h.tolist()))
+    assert [(a, b) for a, b in zip(one, two)] == [(want[g, 1], want[g, 2]) for g in grams.tolist()]
+    none = interpolated_lm._counted(h[:0], kind[:0], bits)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_word_hashes_are_sums_of_bytes_by_powers():
+    texts = ["", "a", " a", "b ", "B", "\t", "one\x0btwo\x0cthree\r\nfour", "\x08 \x0e", "é\u2003x", "ab", "cd", "x" * textkit.CHUNK_BYTES + " y"]
+    data, offs = textkit.utf8(interpolated_lm.pa.array(texts))
+    got, woffs = textkit.words(data, offs)
+    m, inner = int(textkit._MULT), [bytes(x) for t in texts for x in re.split(rb"[\x20\x09-\x0D]+", t.encode()) if x]
+    sums = [(sum(int(textkit._BYTE[b]) * pow(m, i, 2**64) for i, b in enumerate(w.lower())) + len(w)) % 2**64 for w in inner]
+    assert list(got) == list(textkit.mix(np.array(sums, np.uint64)))
+    assert list(np.diff(woffs)) == [len([x for x in re.split(rb"[\x20\x09-\x0D]+", t.encode()) if x]) for t in texts]
+
+
+def test_texts_are_cut_twice_and_then_left(spark):
+    """What weights and scores are made from are counts of tokens: it has no texts, which would be cut once more in each pass."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("bcdfghjklm", k=5000)) for _ in range(60)]
+    scores = interpolated_lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert scores.count() == 60
+    stored = sum(os.path.getsize(f.removeprefix("file://")) for f in scores.inputFiles())
+    assert stored < sum(map(len, texts)) / 4
+
+
 def test_language_model(docs, nothing):
     rows = interpolated_lm.score_documents(docs).collect()
     tokens = [(d, words(t) + [None]) for d, t in TEXTS]

@@ -25,8 +25,17 @@ _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_OF_LOWER = _BYTE[_LOWER]
-_IS_WORD = np.ones(256, dtype=bool)
-_IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_INVERSE = pow(int(_MULT), -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+_AHEAD, _BACK = _powers(int(_MULT), CHUNK_BYTES), _powers(_INVERSE, CHUNK_BYTES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,7 +101,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased), and the n + 1 offsets of each row's words."""
     if data.size == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    inside = _IS_WORD[data]
+    inside = (data != 0x20) & (data - np.uint8(9) > 4)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offs[:-1][offs[:-1] < offs[1:]]
@@ -100,16 +109,20 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(begins)
     if starts.size == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    kept = np.cumsum(inside)
-    first = kept[starts] - 1
-    total = int(kept[-1])
-    length = np.diff(np.append(first, total))
-    place = np.arange(total, dtype=np.int64) - np.repeat(first, length)
-    power = np.full(int(length.max()), _MULT, dtype=np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    h = np.add.reduceat(_BYTE_OF_LOWER[data[inside]] * power[place], first)
-    return mix(h + length.astype(np.uint64)), np.searchsorted(starts, offs)
+    ends = np.ones(len(data), bool)  # of a word's last byte: before a space, or before the next row's word
+    np.logical_not(inside[1:], out=ends[:-1])
+    ends[:-1] |= begins[1:]
+    ends &= inside
+    ends = np.flatnonzero(ends)
+    # a word's sum of its bytes by the powers of its places: a difference of running sums, moved to the word's start
+    ahead, back = (_AHEAD, _BACK) if len(data) <= CHUNK_BYTES else (_powers(int(_MULT), len(data)), _powers(_INVERSE, len(data)))
+    h = np.empty(len(data), np.uint64)
+    np.take(_BYTE_OF_LOWER, data, out=h, mode="clip")
+    h *= ahead[: len(data)]
+    np.cumsum(h, out=h)
+    before = h[starts] - np.take(_BYTE_OF_LOWER, data[starts]) * ahead[starts]
+    h = (h[ends] - before) * back[starts]
+    return mix(h + (ends - starts + 1).astype(np.uint64)), np.searchsorted(starts, offs)
 
 
 def shingles(word: np.ndarray, woffs: np.ndarray, k: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
